@@ -66,19 +66,21 @@ def wkt_box(wkt: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once: a lambda variable is not copied into the expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def usable_box(wkt: Column) -> Column:
     """The bounding box of a usable polygon, null for any other text."""
-    b = wkt_box(wkt)
-    inside = (b["x0"] >= LNG_MIN) & (b["x1"] <= LNG_MAX) & (b["y0"] >= LAT_MIN) & (b["y1"] <= LAT_MAX)
-    return F.when(is_polygon(wkt_mask(wkt)), F.when(inside, b))
+    inside = lambda b: (b["x0"] >= LNG_MIN) & (b["x1"] <= LNG_MAX) & (b["y0"] >= LAT_MIN) & (b["y1"] <= LAT_MAX)
+    return F.when(is_polygon(wkt_mask(wkt)), let(wkt_box(wkt), lambda b: F.when(inside(b), b)))
 
 
 def location(lng: Column, lat: Column, box: Column) -> Column:
     """struct(x, y): the usable point, else the middle of the usable polygon's box, else null."""
-    return (
-        F.when(usable_point(lng, lat), F.struct(lng.alias("x"), lat.alias("y")))
-        .when(box.isNotNull(), F.struct(((box["x0"] + box["x1"]) / 2).alias("x"), ((box["y0"] + box["y1"]) / 2).alias("y")))
-    )
+    middle = lambda b: F.when(b.isNotNull(), F.struct(((b["x0"] + b["x1"]) / 2).alias("x"), ((b["y0"] + b["y1"]) / 2).alias("y")))
+    return F.when(usable_point(lng, lat), F.struct(lng.alias("x"), lat.alias("y"))).otherwise(let(box, middle))
 
 
 def sphere_m(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

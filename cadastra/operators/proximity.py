@@ -15,17 +15,18 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import EARTH_M, is_polygon, location, norm_id, sphere_m, usable_box, wkt_mask
+from ..functions.columns import EARTH_M, location, norm_id, sphere_m, usable_box
 from ..functions.polygons import parse_polygons
+from ..runtime import Cut, small
 
 #: Rows of one cell that one task piece takes.
 PIECE_ROWS = 2_000
-#: Cells per degree of the covering's levels, coarse to fine (about 860, 215, 54 and 13 m of latitude).
-LEVELS = (128, 512, 2048, 8192)
+#: Cells per degree of the covering's levels, coarse to fine (about 860, 215 and 54 m of latitude).
+LEVELS = (128, 512, 2048)
 
 
 def located(records: DataFrame, key: str = "source_record_id") -> DataFrame:
@@ -43,84 +44,85 @@ def near_pairs(points: DataFrame, metres: float) -> DataFrame:
     null or NaN coordinate are near nothing; points across the 180th meridian are not joined. No pair is
     left out, however many rows share a place.
     """
-    span = math.degrees(metres / EARTH_M) * (1 + 1e-9)
-    pts = points.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
-    # rows of cells by latitude; in a row the width of a cell follows the latitude, so it is a function of the row alone
-    row = F.floor(F.col("y") / F.lit(span))
-    width = lambda r: F.lit(span) / F.greatest(F.lit(1e-6), F.cos(F.radians(F.least(F.lit(89.9), F.greatest(F.abs(r), F.abs(r + 1), F.abs(r + 2), F.abs(r - 1)) * span))))
-    cell = lambda r, w: F.struct(r.alias("r"), F.floor(F.col("x") / w).alias("c"))
-    a = pts.withColumn("r", row).withColumn("w", width(F.col("r")))
-    a = a.select("id", "x", "y", "r", "w", F.floor(F.col("x") / F.col("w")).alias("c"))
-    left = a.select("r", "c", "id", "x", "y", F.lit(0).alias("ahead"))
-    # ahead in the own row: the next cell; in the row above: all cells of that row's width that x +- own width can touch
-    up = F.col("r") + 1
-    w_up = width(up)
-    lo, hi = F.floor((F.col("x") - F.col("w") * 1.0001) / w_up), F.floor((F.col("x") + F.col("w") * 1.0001) / w_up)
+    reach = math.degrees(metres / EARTH_M) * (1 + 1e-9)  # in latitude
+    side = 2 * reach
+    stretch = lambda r: F.greatest(F.lit(1e-6), F.cos(F.radians(F.least(F.lit(89.9), (F.abs(r) + 2) * side))))
+    # a point (x, y) has cell (r, c): rows of equal latitude, columns whose width is a function of the row
+    p = points.where("x is not null and y is not null and not isnan(x) and not isnan(y)").withColumn("r", F.floor(F.col("y") / side))
+    p = p.select("id", "x", "y", "r", F.floor(F.col("x") * stretch(F.col("r")) / side).alias("c"))
+    wide = F.lit(reach) / stretch(F.col("r") + 1)  # the longitude that `metres` span hereabouts, at most
+    up, scale_up = F.col("r") + 1, stretch(F.col("r") + 1) / side
+    target = lambda r, c, ahead: F.struct(r.alias("r"), c.alias("c"), F.lit(ahead).alias("ahead"))
+    beside = F.floor((F.col("x") + wide) * stretch(F.col("r")) / side)
+    # a point goes to its own cell, to the next one where that is in reach, and to the cells in reach of the row above
     targets = F.concat(
-        F.array(F.struct(F.col("r").alias("r"), F.col("c").alias("c"), F.lit(0).alias("ahead")), F.struct(F.col("r").alias("r"), (F.col("c") + 1).alias("c"), F.lit(1).alias("ahead"))),
-        F.transform(F.sequence(lo, hi), lambda k: F.struct(up.alias("r"), k.alias("c"), F.lit(1).alias("ahead"))),
+        F.array(target(F.col("r"), F.col("c"), 0)),
+        F.when(beside > F.col("c"), F.transform(F.sequence(F.col("c") + 1, beside), lambda k: target(F.col("r"), k, 1))).otherwise(F.array()),
+        F.when(F.floor((F.col("y") + reach) / side) > F.col("r"), F.transform(F.sequence(F.floor((F.col("x") - wide) * scale_up), F.floor((F.col("x") + wide) * scale_up)), lambda k: target(up, k, 1))).otherwise(F.array()),
     )
-    right = a.select(F.explode(targets).alias("t"), "id", "x", "y").select("t.r", "t.c", "t.ahead", "id", "x", "y")
-    hot = a.groupBy("r", "c").count().where(F.col("count") > PIECE_ROWS).select("r", "c", F.ceil(F.col("count") / PIECE_ROWS).cast("int").alias("pieces"))
-    left = left.join(hot, ["r", "c"], "left").withColumn("piece", F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1))).cast("int")).select("r", "c", "piece", "id", "x", "y")
+    hot = p.groupBy("r", "c").count().where(F.col("count") > PIECE_ROWS).select("r", "c", F.ceil(F.col("count") / PIECE_ROWS).cast("int").alias("pieces"))
+    hot = small(Cut(hot, "hot-cells"))
+    left = p.join(hot, ["r", "c"], "left").select("r", "c", F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1))).cast("int").alias("piece"), "id", "x", "y")
+    right = p.select(F.explode(targets).alias("t"), "id", "x", "y").select("t.*", "id", "x", "y")
     right = right.join(hot, ["r", "c"], "left").select("r", "c", "ahead", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).alias("piece"), F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    close = (F.abs(F.col("y") - F.col("y2")) <= span) & (sphere_m(F.col("x"), F.col("y"), F.col("x2"), F.col("y2")) <= metres)
+    box = (F.abs(F.col("y") - F.col("y2")) <= reach) & (F.abs(F.col("x") - F.col("x2")) * F.cos(F.radians(F.abs(F.col("y")) + side)) <= reach)
     once = (F.col("ahead") == 1) | (F.col("id") < F.col("id2"))
-    j = left.join(right, ["r", "c", "piece"]).where(once & (F.col("id") != F.col("id2")) & close)
+    j = left.join(right.hint("merge"), ["r", "c", "piece"]).where(once & (F.col("id") != F.col("id2")) & box & (sphere_m(F.col("x"), F.col("y"), F.col("x2"), F.col("y2")) <= metres))
     return j.select(F.least("id", "id2").alias("id_a"), F.greatest("id", "id2").alias("id_b"))
 
 
-def cover_polygon(parts: list[list[np.ndarray]]) -> Iterator[tuple[int, int, int, int, bool, list[float]]]:
-    """Cells of a region: (part, level, column, row, inside, edges x1, y1, x2, y2 ... right of or in the cell)."""
-    for n, rings in enumerate(parts):
+def cover_polygon(parts: list[list[np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[list[float]] | None]]:
+    """Cells of a region: (level, columns, rows, edges), the edges (x1, y1, x2, y2 ...) in or right of each cell, or
+    None where the cells are wholly inside. A cell of several parts comes once for each."""
+    for rings in parts:
         e = np.concatenate([np.hstack((r[:-1], r[1:])) for r in rings])
         x0, x1, y0, y1 = np.minimum(e[:, 0], e[:, 2]), np.maximum(e[:, 0], e[:, 2]), np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3])
+        dx, dy = e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]
         s = LEVELS[0]
-        todo = [(0, i, j, np.arange(len(e))) for i in range(math.floor(x0.min() * s), math.floor(x1.max() * s) + 1) for j in range(math.floor(y0.min() * s), math.floor(y1.max() * s) + 1)]
-        while todo:
-            lv, i, j, own = todo.pop()
-            s = LEVELS[lv]
-            cx0, cx1, cy0, cy1 = i / s, (i + 1) / s, j / s, (j + 1) / s
-            own = own[(y1[own] >= cy0) & (y0[own] <= cy1) & (x1[own] >= cx0)]  # edges that can lie right of a point here
-            hit = own[x0[own] <= cx1]
-            if len(hit):  # does the edge meet the cell? all four corners on one side: no
-                ax, ay, dx, dy = e[hit, 0], e[hit, 1], e[hit, 2] - e[hit, 0], e[hit, 3] - e[hit, 1]
-                side = [np.sign(dx * (cy - ay) - dy * (cx - ax)) for cx in (cx0, cx1) for cy in (cy0, cy1)]
-                hit = hit[~((np.min(side, 0) > 0) | (np.max(side, 0) < 0))]
-            if not len(hit):
-                px, py = (cx0 + cx1) / 2, (cy0 + cy1) / 2
-                if _odd(e[own], px, py):
-                    yield n, lv, i, j, True, []
-            elif lv + 1 < len(LEVELS):
-                k = LEVELS[lv + 1] // s
-                todo += [(lv + 1, i * k + a, j * k + b, own) for a in range(k) for b in range(k)]
+        i, j = (g.ravel() for g in np.meshgrid(np.arange(math.floor(x0.min() * s), math.floor(x1.max() * s) + 1), np.arange(math.floor(y0.min() * s), math.floor(y1.max() * s) + 1)))
+        for lv, s in enumerate(LEVELS):
+            cx, cy, h = ((i + 0.5) / s)[:, None], ((j + 0.5) / s)[:, None], 0.5 / s + 1e-12
+            near = (y1 >= cy - h) & (y0 <= cy + h) & (x1 >= cx - h)  # edges that can lie right of a point of the cell
+            off = dx * (cy - e[:, 1]) - dy * (cx - e[:, 0])
+            cut = near & (x0 <= cx + h) & (np.abs(off) <= h * (np.abs(dx) + np.abs(dy)))  # the edge's line meets the cell
+            bound = cut.any(1)
+            k = np.flatnonzero(~bound)
+            if len(k):
+                up = (e[:, 1] > cy[k]) != (e[:, 3] > cy[k])
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    right = up & (e[:, 0] + (cy[k] - e[:, 1]) / dy * dx > cx[k])
+                k = k[right.sum(1) % 2 == 1]
+                if len(k):
+                    yield lv, i[k], j[k], None
+            k = np.flatnonzero(bound)
+            if not len(k):
+                break
+            if lv + 1 == len(LEVELS):
+                yield lv, i[k], j[k], [e[near[q]].ravel().tolist() for q in k]
             else:
-                yield n, lv, i, j, False, e[own].ravel().tolist()
-
-
-def _odd(e: np.ndarray, px: float, py: float) -> bool:
-    up = (e[:, 1] > py) != (e[:, 3] > py)
-    e = e[up]
-    return bool((e[:, 0] + (py - e[:, 1]) / (e[:, 3] - e[:, 1]) * (e[:, 2] - e[:, 0]) > px).sum() % 2)
+                f = LEVELS[lv + 1] // s
+                a, b = (g.ravel() for g in np.meshgrid(np.arange(f), np.arange(f)))
+                i, j = (i[k][:, None] * f + a).ravel(), (j[k][:, None] * f + b).ravel()
 
 
-def covering(regions: DataFrame) -> DataFrame:
-    """(id, part, lv, i, j, inside, edges) of the regions (id, wkt), the texts being usable polygons."""
+def covering(regions: DataFrame, pieces: int = 32) -> DataFrame:
+    """(id, lv, i, j, edges) of the regions (id, wkt), the texts being usable polygons; edges are null inside."""
     kind = regions.schema["id"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["id", "part", "lv", "i", "j", "inside", "edges"]
-        for f in frames:
-            rows = []
-            for rid, wkt in zip(f["id"], f["wkt"], strict=True):
-                for cell in cover_polygon(parse_polygons(wkt)):
-                    rows.append((rid, *cell))
-                    if len(rows) >= 20_000:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-            yield pd.DataFrame(rows, columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, lvs, cols, rows, edges = [], [], [], [], []
+            for rid, wkt in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for lv, i, j, e in cover_polygon(parse_polygons(wkt)):
+                    ids += [rid] * len(i)
+                    lvs += [lv] * len(i)
+                    cols.append(i)
+                    rows.append(j)
+                    edges += e or [None] * len(i)
+            n = lambda xs: pa.array(np.concatenate(xs).astype(np.int32)) if xs else pa.array([], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(lvs, pa.int32()), n(cols), n(rows), pa.array(edges, pa.list_(pa.float64()))], names=["id", "lv", "i", "j", "edges"])
 
-    return regions.select("id", "wkt").mapInPandas(run, f"id {kind}, part int, lv int, i int, j int, inside boolean, edges array<double>")
+    return regions.select("id", "wkt").repartition(pieces).mapInArrow(run, f"id {kind}, lv int, i int, j int, edges array<double>")
 
 
 def crossings(x: Column, y: Column, edges: Column) -> Column:
@@ -137,12 +139,12 @@ def points_within(points: DataFrame, regions: DataFrame) -> DataFrame:
     Regions without a usable polygon hold nothing; of regions with one id each shape counts, and a hit comes
     once. Self-crossing rings count by the even-odd rule, multipolygons by any of their parts.
     """
-    cells = covering(regions.where(usable_box(F.col("wkt")).isNotNull()).distinct().repartition(F.col("id"))).withColumnRenamed("id", "region_id")
+    cells = covering(regions.where(usable_box(F.col("wkt")).isNotNull()).distinct()).withColumnRenamed("id", "region_id")
     pts = points.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
     at = F.array(*[F.struct(F.lit(lv).alias("lv"), F.floor(F.col("x") * s).cast("int").alias("i"), F.floor(F.col("y") * s).cast("int").alias("j")) for lv, s in enumerate(LEVELS)])
     p = pts.select("id", "x", "y", F.explode(at).alias("k")).select("id", "x", "y", "k.lv", "k.i", "k.j")
     j = cells.join(p, ["lv", "i", "j"])
-    hit = F.col("inside") | (crossings(F.col("x"), F.col("y"), F.col("edges")) % 2 == 1)
+    hit = F.col("edges").isNull() | (crossings(F.col("x"), F.col("y"), F.col("edges")) % 2 == 1)
     return j.where(hit).select("region_id", "id").distinct()
 
 

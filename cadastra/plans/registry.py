@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import proximity
+from ..operators import profile, proximity
 from ..sources.tables import table
 
 
@@ -14,8 +14,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return proximity.location_hits(table(spark, d, "source_records"), table(spark, d, "landuse_faces"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return profile.departures(table(spark, d, "source_records"))
+
+
+def p5_profile(spark: SparkSession, d: str) -> DataFrame:
+    return profile.mask_profile(table(spark, d, "source_records"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_found": p7_found}
+    return {"p5_found": p5_found, "p5_profile": p5_profile, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
