@@ -26,7 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, "p2_found": p2_found, "p8_ids": p8_ids}
 
 
-_BLANKS = r"[\s\x{200B}-\x{200F}\x{FEFF}\x{3000}\x{A0}]"
+_BLANKS = r"[\s\x{{200B}}-\x{{200F}}\x{{FEFF}}\x{{3000}}\x{{A0}}]"
 _ID = "nullif(upper(regexp_replace({0}, '^" + _BLANKS + "+|" + _BLANKS + "+$', '', 'g')), '')"
 
 
