@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 #: Traditional and variant forms and the usual form of each.
@@ -27,11 +26,10 @@ _SYLLABLES = (
     "春chun 和he 城cheng 庄zhuang 丽li 佳jia 世shi 纪ji 名ming 苑yuan 府fu 居ju 轩xuan 阁ge 湾wan 里li 园yuan 家jia 嘉jia 花hua 公gong 寓yu 大da 厦sha 村cun "
     "小xiao 区qu 邸di 号hao 院yuan 期qi"
 )
-FORMS = {ord(x[0]): x[1] for x in _FORMS.split()}
+FORMS = {ord(x[0]): x[1] for x in _FORMS.split()} | dict.fromkeys([*range(0x200B, 0x2010), 0x2060, 0xFEFF, 0xAD])  # hidden characters go
 CONFUSED = {ord(x[0]): x[1] for x in _CONFUSED.split()}
 CONFUSED_ROAD = {ord(x[0]): x[1] for x in _CONFUSED_ROAD.split()}
 SYLLABLES = {x[0]: x[1:] for x in _SYLLABLES.split()}
-_HIDDEN = re.compile(r"[​-‏⁠﻿­]")
 _DIGITS = {c: i for i, c in enumerate("零一二三四五六七八九")} | {"〇": 0, "两": 2}
 _ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
 #: A number written in digits or Chinese numerals.
@@ -40,8 +38,7 @@ NUM = r"(?:\d+|[零〇一二两三四五六七八九十百]+)"
 
 def fold(text: str) -> str:
     """Usual widths and forms, lower case, without hidden characters."""
-    t = unicodedata.normalize("NFKC", _HIDDEN.sub("", text)).translate(FORMS)
-    return t.lower()
+    return unicodedata.normalize("NFKC", text).translate(FORMS).lower()
 
 
 def number(text: str) -> int | None:

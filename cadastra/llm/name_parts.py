@@ -23,8 +23,14 @@ _COURT = re.compile(rf"(?:no\s*\.?|第)?\s*({NUM})\s*[号#]\s*院|no\s*\.?\s*({N
 _PHASE = re.compile(rf"第?\s*({NUM}|[ivx]+)\s*期")
 _AREA = re.compile(r"([a-h]|[东南西北中])\s*[区曲]")
 _FORM = re.compile(r"[^0-9a-z〇一-鿿]+")
+_LETTERS, _LETTER, _HAN, _MARKS = re.compile(r"[a-z]{2}"), re.compile(r"[a-z]"), re.compile(r"[一-鿿]"), re.compile(r"no\.?|[ivx]+期")
+_GAP, _TWICE, _PARTICLE = re.compile(r"(?<=\d)\s+(?=\d)"), re.compile(r"([一-鿿])\1+"), re.compile(r"[儿啊子]")
+_OUTER = re.compile(r"^\(?([一-鿿]{2}[区县])(?!$)|\(([一-鿿]{2}[区县])\)")
+_END_FIRST = re.compile(r"\W*((?:名[邸邮]|公[寓寅]|大[厦夏]|新[村材]|嘉园|家园|花园|小区|[府俯苑宛]))(?:[儿啊子])?[·-]+\s*(?=[一-鿿]{2})")  # the ending first
+_MARKED = frozenset("期区县曲院门委务补原")
+_STAFF = re.compile("(?<!化)[职工宿舍]{3,4}")
+_NUMBER = re.compile(NUM)
 _KNOWN = frozenset(SYLLABLES.values())
-_DORM = re.compile(rf"^第?({NUM})(.*)$")
 
 
 class Name(NamedTuple):
@@ -44,6 +50,7 @@ class Name(NamedTuple):
 BLANK = Name("", "", "", "", "", "", "")
 
 
+@lru_cache(maxsize=10_000)
 def _places(*names: str | None) -> list[str]:
     out = []
     for n in names:
@@ -61,38 +68,43 @@ def parse_name(name: str | None, province: str | None = None, city: str | None =
     """Parts of a name; province, city and district are names that may be written before it."""
     if not name or not (s := fold(name)).strip() or s.strip() in FILLERS:
         return BLANK
-    if len(re.findall(r"[a-z]", re.sub(r"no\.?|[ivx]+期", "", s))) >= 3 and len(re.findall(r"[一-鿿]", s)) <= 2:
+    if _LETTERS.search(s) and len(_LETTER.findall(_MARKS.sub("", s))) >= 3 and len(_HAN.findall(s)) <= 2:
         return _latin(s)
-    s = re.sub(r"(?<=\d)\s+(?=\d)", "", _NOISE.sub(" ", s)).replace("小曲", "小区").replace("活曲", "活区")
+    s = "".join(s.split())
+    marked = not _MARKED.isdisjoint(s) or not s.isalpha()
     phase = area = court = None
-    if m := _COURT.search(s):
-        court, s = number(m[1] or m[2]), s[: m.start()] + " " + s[m.end() :]
-    if m := _PHASE.search(s):
-        phase, s = number(m[1]), s[: m.start()] + " " + s[m.end() :]
+    if marked:
+        s = _GAP.sub("", _NOISE.sub(" ", s)).replace("小曲", "小区").replace("活曲", "活区")
+        if "院" in s and (m := _COURT.search(s)):
+            court, s = number(m[1] or m[2]), s[: m.start()] + " " + s[m.end() :]
+        if "期" in s and (m := _PHASE.search(s)):
+            phase, s = number(m[1]), s[: m.start()] + " " + s[m.end() :]
     found = ""
     for p in _places(district, city, province):
         if p in s and len(_FORM.sub("", s)) - len(p) >= 2:
             s = s.replace(p, " ", 1)
             break
     else:
-        if m := re.search(r"^\(?([一-鿿]{2}[区县])(?!$)|\(([一-鿿]{2}[区县])\)", s):
+        if marked and (m := _OUTER.search(s)):
             word = m[1] or m[2]
             if not word.endswith("小区") and len(_FORM.sub("", s)) > len(word) + 1:
                 found, s = word, s[: m.start()] + " " + s[m.end() :]
-    for m in _AREA.finditer(s):
+    for m in _AREA.finditer(s) if marked else ():
         if not (m[0].endswith("曲") and m.start() and s[m.start() - 1] not in " ()-·"):
             area, s = m[1], s[: m.start()] + " " + s[m.end() :]
             break
-    if m := re.match(r"\W*(名[邸邮]|公[寓寅]|大[厦夏]|新[村材]|嘉园|家园|花园|小区|[府俯苑宛])[·-]+\s*(?=[一-鿿]{2})", s):  # the ending first
+    s = _TWICE.sub(r"\1", s)
+    if m := _END_FIRST.match(s):
         s = s[m.end() :] + m[1]
-    s = _FORM.sub("", s)
-    s = re.sub(r"[儿啊子]", "", s) or s
-    s = re.sub(r"(.)\1+", r"\1", s)
+    if marked or " " in s:
+        s = _FORM.sub("", s)
+    s = _PARTICLE.sub("", s) or s
+    s = _TWICE.sub(r"\1", s)
     parts = _parts(phase, area, court)
     if d := _dorm(s):
         return Name("D", d[0], d[0], d[0], d[1], parts, found)
     s = s.replace("新材", "新村").translate(CONFUSED)
-    s = re.sub(r"(.)\1+", r"\1", s)
+    s = _TWICE.sub(r"\1", s)
     if len(s) >= 3 and s[0] in "老小市":
         s = s[1:]
     for e in (*ESTATE_ENDS, *LOOSE_ENDS):
@@ -112,7 +124,7 @@ def parse_name(name: str | None, province: str | None = None, city: str | None =
 def _dorm(s: str) -> tuple[str, str] | None:
     """(number and works, ending) of a dormitory's name, full or short."""
     t = s.translate({ord("缩"): "宿", ord("嘱"): "属", ord("话"): "活"})
-    t = re.sub("(?<!化)[职工宿舍]{3,4}", "职工宿舍", t)
+    t = _STAFF.sub("职工宿舍", t)
     t = t[1:] if t[0] in "市老小" and len(t) > 3 else t
     ends = ""
     for e in (*DORM_ENDS, *LOOSE_ENDS):
@@ -120,7 +132,7 @@ def _dorm(s: str) -> tuple[str, str] | None:
             ends = DORM_ENDS.get(e, "")
             t = t[: -len(e)] if t.endswith(e) else t[len(e) :]
             break
-    n = re.search(NUM, t)
+    n = _NUMBER.search(t)
     if not n or (value := number(n[0])) is None:
         return None
     rest = t.replace("第", "", 1).replace(n[0], "", 1)
@@ -155,6 +167,3 @@ def _latin(s: str) -> Name:
             return Name("E", "", " ".join(y), " ".join(sorted(y)), ends, _parts(phase, area, court), "")
     y = split_latin(j, _KNOWN) or [j]
     return Name("E", "", " ".join(y), " ".join(sorted(y)), ends, _parts(phase, area, court), "")
-
-
-cached_parse = lru_cache(maxsize=50_000)(parse_name)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import components, survivors, tokens
+from . import addresses, components, matching, mixing, subjects, survivors, tokens, variants
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,12 +18,36 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors.entity_choices(table(spark, d, "canonical_entities"), table(spark, d, "source_records"), table(spark, d, "source_systems"), table(spark, d, "geometry_versions"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.address_pairs(table(spark, d, "source_records"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.link_variants(table(spark, d, "source_records"), table(spark, d, "canonical_entities"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_matches(spark, d).select("record_id_a", "record_id_b")
+
+
+def p6_matches(spark: SparkSession, d: str) -> DataFrame:
+    return matching.match_records(table(spark, d, "source_records"), table(spark, d, "canonical_entities"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_plans"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.classify(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p8_ids": p8_ids}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p6_matches, p8_ids, p9_mix, p10_found)}
 
 
 _BLANKS = r"[\s\x{{200B}}-\x{{200F}}\x{{FEFF}}\x{{3000}}\x{{A0}}]"
