@@ -86,4 +86,4 @@ def location(lng: Column, lat: Column, box: Column) -> Column:
 def sphere_m(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Great-circle metres (haversine) on a sphere of radius EARTH_M."""
     h = F.pow(F.sin(F.radians(y2 - y1) / 2), 2) + F.cos(F.radians(y1)) * F.cos(F.radians(y2)) * F.pow(F.sin(F.radians(x2 - x1) / 2), 2)
-    return 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return 2 * EARTH_M * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))  # null where a coordinate is
