@@ -108,9 +108,9 @@ def utm_inverse(east: Column, north: Column, zone: Column) -> Column:
         xi = xi - b * F.sin(2 * k * xi0) * F.cosh(2 * k * eta0)
         eta = eta - b * F.cos(2 * k * xi0) * F.sinh(2 * k * eta0)
     chi = F.asin(F.sin(xi) / F.cosh(eta))
-    # the latitude from the conformal one, by three fixed-point steps
+    # the latitude from the conformal one, by fixed-point steps (each gains two digits and more)
     phi = chi
-    for _ in range(3):
+    for _ in range(5):
         phi = F.asin(F.tanh(F.atanh(F.sin(chi)) + e * F.atanh(e * F.sin(phi))))
     return F.struct((F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + (zone * 6 - 183)).alias("lng"), F.degrees(phi).alias("lat"))
 

@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Word lists of the entity-type classifier.
 DORM = "宿舍|家属|职工住宅|教师楼|干部楼|家属院|家属区|生活区|生活小区|住宅区"
@@ -100,9 +101,10 @@ def components(name: Column) -> Column:
 
     def step(s: Column, t: Column) -> Column:
         hits = F.call_function("regexp_extract_all", s["rest"], t["p"], F.lit(1))
-        last = F.when(F.size(hits) > 0, F.element_at(hits, -1))
-        # cut the last match: everything greedy before it, then the match itself
-        cut = F.regexp_replace(s["rest"], F.concat(F.lit("^(.*)"), t["p"]), F.lit("$1"))
+        last = F.when(F.size(hits) > 0, F.try_element_at(hits, F.lit(-1)))
+        whole = F.try_element_at(F.call_function("regexp_extract_all", s["rest"], t["p"], F.lit(0)), F.lit(-1))
+        after = F.call_function("substring_index", s["rest"], whole, F.lit(-1))
+        cut = F.concat(F.call_function("left", s["rest"], F.length(s["rest"]) - F.length(whole) - F.length(after)), after)
         fresh = last.isNotNull() & ~F.map_contains_key(s["parts"], t["k"])
         return F.struct(F.when(last.isNotNull(), cut).otherwise(s["rest"]).alias("rest"), F.when(fresh, F.map_concat(s["parts"], F.map_from_arrays(F.array(t["k"]), F.array(normal_token(last))))).otherwise(s["parts"]).alias("parts"))
 
@@ -123,7 +125,7 @@ def component_scores(a: Column, b: Column) -> Column:
     return F.map_zip_with(a, b, lambda k, x, y: F.when(x.isNull() | y.isNull(), 0.5).when(x == y, 1.0).otherwise(0.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff-Obershelp similarity of two texts; 0 where one is null or empty. No JVM function computes it."""
     for a, b in pairs:

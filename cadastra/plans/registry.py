@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import profile, proximity
 from ..sources.tables import table
+from . import reference
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,12 +24,12 @@ def p5_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_profile": p5_profile, "p7_found": p7_found}
+    return {"p5_found": p5_found, "p5_profile": p5_profile, "p7_found": p7_found, **reference.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(reference.SQL)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return p7_found(spark, d)
+    return reference.work_tiers(spark, d)
