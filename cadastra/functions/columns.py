@@ -18,6 +18,14 @@ _BLANK = r"[\s\p{Z}\p{Cc}\p{Cf}]"
 _NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[-+]?[0-9]+)?"
 
 
+# A complete polygon text in one pass. All repetitions are possessive: they neither back up nor nest calls, so a
+# ring of any length is matched in a loop.
+_N = r"[-+]?+(?:[0-9]++\.?+[0-9]*+|\.[0-9]++)(?:e[-+]?+[0-9]++)?+"
+_RING = rf"\s*+\(\s*+{_N}\s++{_N}\s*+(?:,\s*+{_N}\s++{_N}\s*+){{3,}}+\)\s*+"
+_RINGS = rf"{_RING}(?:,{_RING})*+"
+_POLYGON = rf"(?i)^{_BLANK}*+(?:srid\s*+=\s*+[0-9]++\s*+;\s*+)?+(?:polygon\s*+\({_RINGS}\)|multipolygon\s*+\(\s*+\({_RINGS}\)\s*+(?:,\s*+\({_RINGS}\)\s*+)*+\)){_BLANK}*+$"
+
+
 def trimmed(c: Column) -> Column:
     """Text without outer blanks of any script (full-width and zero-width ones included)."""
     return F.regexp_replace(c, f"^{_BLANK}+|{_BLANK}+$", "")
@@ -60,7 +68,11 @@ def is_polygon(mask: Column) -> Column:
 
 def wkt_box(wkt: Column) -> Column:
     """struct(x0, x1, y0, y1) of all positions of a WKT text."""
-    nums = F.regexp_extract_all(_plain(wkt), F.lit(f"({_NUMBER})"), 1)
+    return _box(_plain(wkt))
+
+
+def _box(text: Column) -> Column:
+    nums = F.regexp_extract_all(text, F.lit(f"({_NUMBER})"), 1)
     xs = F.transform(F.filter(nums, lambda v, i: i % 2 == 0), lambda v: v.cast("double"))
     ys = F.transform(F.filter(nums, lambda v, i: i % 2 == 1), lambda v: v.cast("double"))
     return F.struct(F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
@@ -74,7 +86,8 @@ def let(value: Column, use) -> Column:
 def usable_box(wkt: Column) -> Column:
     """The bounding box of a usable polygon, null for any other text."""
     inside = lambda b: (b["x0"] >= LNG_MIN) & (b["x1"] <= LNG_MAX) & (b["y0"] >= LAT_MIN) & (b["y1"] <= LAT_MAX)
-    return F.when(is_polygon(wkt_mask(wkt)), let(wkt_box(wkt), lambda b: F.when(inside(b), b)))
+    body = F.substring_index(F.lower(wkt), "n", -1)  # after the last letter of the word, so without the SRID
+    return F.when(wkt.rlike(_POLYGON), let(_box(body), lambda b: F.when(inside(b), b)))
 
 
 def location(lng: Column, lat: Column, box: Column) -> Column:

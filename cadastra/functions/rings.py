@@ -43,7 +43,7 @@ def measures(ring: Column) -> Column:
             F.when(s["t"] != 0, o["x"] + s["mx"] / (3 * s["t"])).otherwise(mean("x")).alias("cx"),
             F.when(s["t"] != 0, o["y"] + s["my"] / (3 * s["t"])).otherwise(mean("y")).alias("cy"), F.size(r).alias("vertices")))
 
-    return F.when(F.size(ring) >= 4, let(ring, of))
+    return let(ring, lambda r: F.when(F.size(r) >= 4, of(r)))
 
 
 def metric(measure: Column) -> Column:

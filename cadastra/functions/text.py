@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .columns import let
+
 #: Word lists of the entity-type classifier.
 DORM = "宿舍|家属|职工住宅|教师楼|干部楼|家属院|家属区|生活区|生活小区|住宅区"
 COURT = "([甲乙丙丁]?[0-9]+|[一二三四五六七八九十百]+)号院"
@@ -55,10 +57,13 @@ def _found(text: Column, pattern: str) -> Column:
 
 def strip_city(text: Column, prefixes: tuple[str, ...] = CITY_PREFIXES) -> Column:
     """The text without the first of `prefixes` it starts with, if two characters or more remain."""
-    out = F.lit(None).cast("string")
-    for p in reversed(prefixes):
-        out = F.when(text.startswith(p) & (F.length(text) - len(p) >= 2), F.substring(text, len(p) + 1, 10_000)).otherwise(out)
-    return F.coalesce(out, text)
+    def of(t: Column) -> Column:
+        out = t
+        for p in reversed(prefixes):
+            out = F.when(t.startswith(p) & (F.length(t) - len(p) >= 2), F.substring(t, len(p) + 1, 1 << 30)).otherwise(out)
+        return out
+
+    return let(text, of)
 
 
 def tokens(name: Column) -> Column:
@@ -70,9 +75,9 @@ def tokens(name: Column) -> Column:
     sub = _found(n, "东区|西区|南区|北区|中区|东院|西院|南院|北院|[A-Z]区|[A-Z][0-9]+|[一二三四五六七八九十0-9]+区")
     base = F.regexp_replace(n, r"\(.*?\)|（.*?）", "")
     for t in (court, house, phase, sub):
-        base = F.when(t.isNotNull(), F.replace(base, t, F.lit(""))).otherwise(base)
-    base = strip_city(F.regexp_replace(base, "^[ _#-]+|[ _#-]+$", ""))
-    return F.struct(court.alias("court_no"), house.alias("house_no"), phase.alias("phase"), sub.alias("subarea"), F.when(base == "", n).otherwise(base).alias("base_name"))
+        base = F.replace(base, F.coalesce(t, F.lit("\u0000")), F.lit(""))
+    base = let(strip_city(F.regexp_replace(base, "^[ _#-]+|[ _#-]+$", "")), lambda b: F.when(b == "", n).otherwise(b))
+    return F.struct(court.alias("court_no"), house.alias("house_no"), phase.alias("phase"), sub.alias("subarea"), base.alias("base_name"))
 
 
 def numeral(text: Column) -> Column:

@@ -54,9 +54,8 @@ def canonical_records(members: DataFrame, group: str, key: str, name: str, score
 def hierarchy(places: DataFrame, key: str, city: str, name: str) -> DataFrame:
     """(key, base, role, group_id): places grouped by the name without an estate's endings; groups of several have
     an estate (the place named like the base, or the group itself) and its phases or compounds."""
-    base = F.col(name)
-    for s in ESTATE_SUFFIXES:
-        base = F.when(base.endswith(s) & (F.length(base) > len(s) + 1), F.regexp_replace(base, "[甲乙丙丁]?[0-9一二三四五六七八九十]*" + s + "$", "")).otherwise(base)
+    cut = F.regexp_replace(F.col(name), "[甲乙丙丁]?[0-9一二三四五六七八九十]*(" + "|".join(ESTATE_SUFFIXES) + ")$", "")
+    base = F.when(F.length(cut) >= 2, cut).otherwise(F.col(name))
     d = places.select(key, city, name, base.alias("base"))
     n = d.groupBy(city, "base").agg(F.count(F.lit(1)).alias("n"))
     role = F.when(F.col(name) == F.col("base"), "ESTATE").when(F.col(name).rlike("期$"), "PHASE").otherwise("COMPOUND")

@@ -605,3 +605,80 @@ def pair_cosine(spark: SparkSession, d: str) -> DataFrame:
     a = e.where("vec_id % 100 = 0").select(C("vec_id").alias("id_a"), "label", C("v").alias("va"), C("n").alias("na"))
     j = e.join(a, "label").where("vec_id <> id_a")
     return j.select("id_a", C("vec_id").alias("id_b"), r(dot(C("va"), C("v")) / F.sqrt(C("na") * C("n")), 5, "cos"))
+
+
+# ---- pipelines
+
+@query()
+def record_governance(spark: SparkSession, d: str) -> DataFrame:
+    """Step 0 to 2 of the batch run over all records: coordinate status and quality decision counts."""
+    from ..operators.pipelines import assessed_records
+
+    a = assessed_records(table(spark, d, "source_records"))
+    return a.select(C("coord.status").alias("status"), "decision", "entity_type").groupBy("status", "decision", "entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""WITH g AS (SELECT source_record_id AS id, regexp_replace(lower(trim(geometry_raw_wkt)), '^srid\s*=\s*[0-9]+\s*;\s*', '') AS t FROM (SELECT DISTINCT source_record_id, geometry_raw_wkt FROM source_records)),
+ ok AS (SELECT id, [CAST(v AS DOUBLE) FOR v IN regexp_extract_all(regexp_extract(t, '\(([^()]+)\)', 1), '-?[0-9.]+')] AS v FROM g WHERE regexp_full_match(t, 'polygon\s*\(\s*\(\s*-?[0-9.]+\s+-?[0-9.]+\s*(,\s*-?[0-9.]+\s+-?[0-9.]+\s*){3,}\)\s*\)')),
+ e AS (SELECT id, v[1] AS ox, v[2] AS oy, unnest(range(1, len(v) - 2, 2)) AS k, v FROM ok)
+ SELECT id, round(abs(sum((v[k] - ox) * (v[k + 3] - oy) - (v[k + 2] - ox) * (v[k + 1] - oy))) / 2 * 1e10, 1) AS area_e10 FROM e GROUP BY id""")
+def polygon_areas(spark: SparkSession, d: str) -> DataFrame:
+    """Shoelace area (in 1e-10 square degrees) of every record whose text is one plain polygon."""
+    from ..functions.columns import wkt_mask
+    from ..functions.rings import measures, ring_of
+
+    s = table(spark, d, "source_records").select(C("source_record_id").alias("id"), "geometry_raw_wkt").distinct()
+    s = s.where(wkt_mask(C("geometry_raw_wkt")).rlike(r"^polygon\s?\(R\)$"))
+    return s.select("id", F.round(measures(ring_of(C("geometry_raw_wkt")))["area"] * 1e10, 1).alias("area_e10"))
+
+
+@query()
+def polygon_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Validity, hull ratio and inscribed radius of all entity polygons in Arrow batches, as counts by class."""
+    from ..functions import kernel
+
+    g = table(spark, d, "geometry_versions").select("geometry_wkt").distinct()
+    g = g.select(kernel.wkt_valid("geometry_wkt").alias("valid"), kernel.wkt_hull_ratio("geometry_wkt").alias("hull"), kernel.wkt_inscribed("geometry_wkt").alias("mic"))
+    return g.groupBy("valid", (C("hull") >= 0.9).alias("convexish"), (C("mic") >= 0.0003).alias("wide")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {FENCES_SQL}, b AS (SELECT id, name, width_m * height_m AS prior, CASE WHEN width_m * height_m < 12000 THEN 'COURTYARD' WHEN width_m * height_m > 120000 THEN 'ESTATE' ELSE 'COMMUNITY' END AS scale FROM fences)
+ SELECT scale, CASE WHEN CAST(1.035 AS DOUBLE) * prior BETWEEN greatest(500, CAST(0.4 AS DOUBLE) * prior) AND CAST(2.5 AS DOUBLE) * prior AND id % 6 <> 0 THEN 'PUBLISHED' ELSE 'FAILED_CLOSED' END AS state, count(*) AS n FROM b GROUP BY ALL""")
+def generation_states(spark: SparkSession, d: str) -> DataFrame:
+    """Final states of generation runs by scale."""
+    from ..operators.pipelines import generation_runs
+
+    f = views.fences(spark, d).select("name", "lng", "lat", (C("width_m") * C("height_m")).alias("prior_m2"), (C("id") % 6 != 0).alias("valid"))
+    return generation_runs(f).groupBy("scale", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT 'named' AS "check", round(avg(CAST(name IS NOT NULL AND name <> '' AS INT)), 6) AS value, CASE WHEN avg(CAST(name IS NOT NULL AND name <> '' AS INT)) >= 0.5 THEN 'PASS' WHEN avg(CAST(name IS NOT NULL AND name <> '' AS INT)) >= 0.4 THEN 'WARN' ELSE 'FAIL' END AS status FROM landuse_faces
+ UNION ALL SELECT 'has_class', round(avg(CAST(osm_fclass IS NOT NULL AS INT)), 6), CASE WHEN avg(CAST(osm_fclass IS NOT NULL AS INT)) >= 0.95 THEN 'PASS' WHEN avg(CAST(osm_fclass IS NOT NULL AS INT)) >= 0.85 THEN 'WARN' ELSE 'FAIL' END FROM landuse_faces""")
+def city_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Shares that a city's layers must reach before classification."""
+    from ..operators.pipelines import expectations
+
+    return expectations(table(spark, d, "landuse_faces"), {"named": (C("name").isNotNull() & (C("name") != ""), 0.5), "has_class": (C("osm_fclass").isNotNull(), 0.95)})
+
+
+@query()
+def provider_proposals(spark: SparkSession, d: str) -> DataFrame:
+    """Proposals of the boundary providers over fences, polygons of parts and buildings of suppliers, counted."""
+    from ..operators.pipelines import knn_prior, provider_hypotheses
+
+    f = views.fences(spark, d).select(C("id").alias("seed_id"), C("lng").alias("x"), C("lat").alias("y"), (C("width_m") * C("height_m")).alias("area_m2"))
+    k = C("s_suppkey")
+    b = table(spark, d, "supplier").select((F.lit(116.0) + (k * 7907 % 1000).cast("double") / 2000).alias("x"), (F.lit(39.6) + (k * 104723 % 1000).cast("double") / 2000).alias("y"), (k % 50 * 20 + 100).cast("double").alias("area_m2"))
+    seeds = f.join(knn_prior(f, f, 0.02), "seed_id", "left").where("seed_id % 3 = 0").select("seed_id", "x", "y", "prior_m2")
+    return provider_hypotheses(seeds, f.where("seed_id % 3 = 1"), b).groupBy("provider").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("seed_id").alias("seeds"))
+
+
+@query()
+def segment_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Boundary pieces between corners of all entity polygons, counted by their number of edges."""
+    from ..functions.rings import ring_of
+    from ..operators.pipelines import boundary_segments
+
+    g = table(spark, d, "geometry_versions").select("geometry_version_id", ring_of(C("geometry_wkt")).alias("ring")).where("ring IS NOT NULL").dropDuplicates(["geometry_version_id"])
+    s = boundary_segments(g, "geometry_version_id", "ring")
+    return s.select((C("last") - C("first")).alias("edges")).groupBy("edges").agg(F.count(F.lit(1)).alias("n"))
