@@ -9,7 +9,7 @@ _FORMS = (
     "號号 園园 區区 觀观 寧宁 遠远 嶺岭 鶴鹤 聽听 匯汇 滙汇 潤润 錦锦 雲云 禦御 藍蓝 鷺鹭 嶼屿 澤泽 廠厂 東东 機机 電电 舎舍 紡纺 門门 灣湾 橋桥 莊庄 "
     "樓楼 棟栋 單单 層层 縣县 陽阳 陰阴 樺桦 楓枫 蘭兰 棗枣 楊杨 風风 場场 閣阁 蔭荫 業业 務务 設设 計计 農农 藥药 鑄铸 質质 隊队 運运 輸输 庫库 糧粮 "
     "纜缆 軸轴 儀仪 鋼钢 職职 屬属 漢汉 龍龙 鳳凤 麗丽 華华 國国 廣广 義义 禮礼 順顺 暉晖 溝沟 壩坝 條条 幾几 兒儿 補补 錄录 構构 數数 灘滩 島岛 爾尔 "
-    "瀾澜 嵐岚 榮荣 銅铜 鉑铂 頤颐 寶宝 徑径 塢坞 蘆芦 薊蓟 櫟栎 硯砚 滄沧 臨临 雲云 雁雁 棲栖 閱阅 悅悦 紫紫 蘇苏"
+    "瀾澜 嵐岚 榮荣 銅铜 鉑铂 頤颐 寶宝 徑径 塢坞 蘆芦 薊蓟 櫟栎 硯砚 滄沧 臨临 雲云 雁雁 棲栖 謹谨 詳详 綿绵 閱阅 悅悦 紫紫 蘇苏"
 )
 #: Look-alike and sound-alike characters typed for those usual in names of housing.
 _CONFUSED = (

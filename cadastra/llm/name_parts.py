@@ -27,6 +27,8 @@ _LETTERS, _LETTER, _HAN, _MARKS = re.compile(r"[a-z]{2}"), re.compile(r"[a-z]"),
 _GAP, _TWICE, _PARTICLE = re.compile(r"(?<=\d)\s+(?=\d)"), re.compile(r"([一-鿿])\1+"), re.compile(r"[儿啊子]")
 _OUTER = re.compile(r"^\(?([一-鿿]{2}[区县])(?!$)|\(([一-鿿]{2}[区县])\)")
 _END_FIRST = re.compile(r"\W*((?:名[邸邮]|公[寓寅]|大[厦夏]|新[村材]|嘉园|家园|花园|小区|[府俯苑宛]))(?:[儿啊子])?[·-]+\s*(?=[一-鿿]{2})")  # the ending first
+_WORK_SIGNS = frozenset(c for w in WORKS for c in w)
+_ENDING = re.compile(f"^(.+?)({'|'.join(ESTATE_ENDS)}|{'|'.join(LOOSE_ENDS)})$")
 _MARKED = frozenset("期区县曲院门委务补原")
 _STAFF = re.compile("(?<!化)[职工宿舍]{3,4}")
 _NUMBER = re.compile(NUM)
@@ -51,13 +53,13 @@ BLANK = Name("", "", "", "", "", "", "")
 
 
 @lru_cache(maxsize=10_000)
-def _places(*names: str | None) -> list[str]:
+def _places(*names: str | None) -> tuple[str, ...]:
     out = []
     for n in names:
         if n:
             f = fold(n).strip()
             out += [f, f[:-1]] if f[-1:] in "省市区县" and len(f) > 2 else [f + "市", f + "区", f + "县", f]
-    return [x for x in out if len(x) >= 2]
+    return tuple(x for x in out if len(x) >= 2)
 
 
 def _parts(phase: int | None, area: str | None, court: int | None) -> str:
@@ -80,7 +82,8 @@ def parse_name(name: str | None, province: str | None = None, city: str | None =
         if "期" in s and (m := _PHASE.search(s)):
             phase, s = number(m[1]), s[: m.start()] + " " + s[m.end() :]
     found = ""
-    for p in _places(district, city, province):
+    outer = _places(district, city, province)
+    for p in outer if marked or s.startswith(outer) else ():
         if p in s and len(_FORM.sub("", s)) - len(p) >= 2:
             s = s.replace(p, " ", 1)
             break
@@ -101,16 +104,14 @@ def parse_name(name: str | None, province: str | None = None, city: str | None =
     s = _PARTICLE.sub("", s) or s
     s = _TWICE.sub(r"\1", s)
     parts = _parts(phase, area, court)
-    if d := _dorm(s):
+    if not _WORK_SIGNS.isdisjoint(s) and (d := _dorm(s)):
         return Name("D", d[0], d[0], d[0], d[1], parts, found)
     s = s.replace("新材", "新村").translate(CONFUSED)
     s = _TWICE.sub(r"\1", s)
     if len(s) >= 3 and s[0] in "老小市":
         s = s[1:]
-    for e in (*ESTATE_ENDS, *LOOSE_ENDS):
-        if s.endswith(e) and len(s) > len(e):
-            core, ends = s[: -len(e)], e if e in ESTATE_ENDS else ""
-            break
+    if m := _ENDING.match(s):
+        core, ends = m[1], m[2] if m[2] in ESTATE_ENDS else ""
     else:
         core, ends = s, ""
         for e in ESTATE_ENDS:  # an ending with its characters exchanged, or before the core

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import norm_id, sphere_m, trimmed, usable_box, usable_point
+from ..functions.columns import is_blank, norm_id, sphere_m, trimmed, usable_box, usable_point
 from ..runtime import Cut, small
 from .address_parts import parse_address
 from .name_parts import parse_name
@@ -21,17 +21,18 @@ _NAME = ("kind", "core", "sound", "bag", "ends", "parts")
 _ADDRESS = ("city", "district", "office", "road", "door")
 
 
-def parsed(records: DataFrame, names: bool = True, addresses: bool = True, raw: bool = False) -> DataFrame:
+def parsed(records: DataFrame, names: bool = True, addresses: bool = True, raw: bool = False, boxes: bool = True) -> DataFrame:
     """(rid, sys, x, y, bx, by, kind, core, sound, bag, ends, parts, ckey, city, district, office, road, door), a row per delivery.
 
     ckey is the characters of the name's core in order of their codes (empty for names in Latin letters).
-    (x, y) is the location, (bx, by) the middle of the usable polygon. With `raw` the typed name comes too. Fields that a text leaves out, or all of a blank text, are empty strings; rows without an id are left out.
+    (x, y) is the location, (bx, by) the middle of the usable polygon
+    (without `boxes` only where the point is not usable). With `raw` the typed name comes too. Fields that a text leaves out, or all of a blank text, are empty strings; rows without an id are left out.
     """
     c = F.col
     base = records.select(
         norm_id(c("source_record_id")).alias("rid"), F.upper(trimmed(c("source_system"))).alias("sys"),
         F.when(usable_point(c("point_raw_lng"), c("point_raw_lat")), c("point_raw_lng")).alias("px"), F.when(usable_point(c("point_raw_lng"), c("point_raw_lat")), c("point_raw_lat")).alias("py"),
-        usable_box(c("geometry_raw_wkt")).alias("box"), "name_raw", "address_raw", "province_raw", "city_raw", "district_raw", "street_raw",
+        (usable_box(c("geometry_raw_wkt")) if boxes else F.when(~usable_point(c("point_raw_lng"), c("point_raw_lat")), usable_box(c("geometry_raw_wkt")))).alias("box"), "name_raw", "address_raw", "province_raw", "city_raw", "district_raw", "street_raw",
     ).where("rid is not null")
     middle = {"bx": (c("box.x0") + c("box.x1")) / 2, "by": (c("box.y0") + c("box.y1")) / 2}
     base = base.select("rid", "sys", F.coalesce("px", middle["bx"]).alias("x"), F.coalesce("py", middle["by"]).alias("y"), *[v.alias(k) for k, v in middle.items()], "name_raw", "address_raw", "province_raw", "city_raw", "district_raw", "street_raw")
@@ -73,23 +74,31 @@ def one_per_record(rows: DataFrame) -> DataFrame:
     return rows.groupBy("rid").agg(*[F.max(c).alias(c) for c in rest])
 
 
-def with_district(rows: DataFrame) -> DataFrame:
-    """Fills an empty district from the street office's or the location cell's usual one; `rows` must be cheap to
-    read twice (a cut table). Where neither tells, the district stays empty."""
-    known = rows.where("district <> '' and city <> ''")
-
-    def usual(keys: list[str]) -> DataFrame:
-        n = known.groupBy(*keys, "district").count()
+def district_maps(records: DataFrame) -> list[tuple[list[str], DataFrame]]:
+    """(keys, table) of the usual district of each street office and location cell, from the plain columns of all
+    records; the tables are as long as there are offices and cells, and broadcast only if small."""
+    c = F.col
+    plain = lambda k, ends: F.regexp_replace(F.when(~is_blank(c(k)), trimmed(c(k))), f"(?<=..)({ends})$", "")
+    point = usable_point(c("point_raw_lng"), c("point_raw_lat"))
+    at = {f"{v}{k}": F.when(point, F.floor(c(f"point_raw_{n}") / w)) for k, w in enumerate(CELLS) for v, n in (("x", "lng"), ("y", "lat"))}
+    known = records.select(plain("city_raw", "市").alias("city"), plain("district_raw", "区|县").alias("district"), plain("street_raw", "街道办事处|街道|街办|办事处").alias("office"), *[v.alias(k) for k, v in at.items()])
+    known = known.where("city IS NOT NULL AND district IS NOT NULL")
+    out = []
+    for keys in (["city", "office"], *[["city", f"x{k}", f"y{k}"] for k in range(len(CELLS))]):
+        n = known.where(F.col(keys[1]).isNotNull()).groupBy(*keys, "district").count()
         best = n.groupBy(*keys).agg(F.max_by("district", F.struct("count", "district")).alias("best"), (F.max("count") / F.sum("count")).alias("share"), F.sum("count").alias("n"))
-        return best.where((F.col("share") >= AGREE) & (F.col("n") >= 3)).select(*keys, "best")
-
-    at = {f"{v}{k}": F.floor(F.col(v) / w) for k, w in enumerate(CELLS) for v in "xy"}
-    known = known.select("city", "office", "district", *[v.alias(k) for k, v in at.items()])
-    lacking = rows.where("district = '' or city = ''").select("*", *[v.alias(k) for k, v in at.items()])
-    lookups = [["city", "office"], *[["city", f"x{k}", f"y{k}"] for k in range(len(CELLS))]]
-    for k, keys in enumerate(lookups):
-        side = small(Cut(usual(keys).where(F.col(keys[1]).isNotNull() & (F.col(keys[1]).cast("string") != "")).withColumnRenamed("best", f"b{k}"), "districts"))
-        lacking = lacking.join(side, keys, "left")
+        out.append((keys, small(Cut(best.where((F.col("share") >= AGREE) & (F.col("n") >= 3)).select(*keys, "best"), "districts"))))
+    return out
+
+
+def with_district(rows: DataFrame, maps: list[tuple[list[str], DataFrame]]) -> DataFrame:
+    """Fills an empty district from the street office's, then the location cell's usual one; where none tells, it
+    stays empty."""
+    lacking = rows.withColumns({f"{v}{k}": F.floor(F.col(v) / w) for k, w in enumerate(CELLS) for v in "xy"})
+    # rows that have a district meet no key, so that they don't crowd on a frequent one
+    lacking = lacking.withColumn("_city", F.col("city")).withColumn("city", F.when(F.col("district") == "", F.col("city")))
+    for k, (keys, side) in enumerate(maps):
+        lacking = lacking.join(side.withColumnRenamed("best", f"b{k}"), keys, "left")
     given = F.when(F.col("district") != "", F.col("district"))
-    filled = lacking.withColumn("district", F.coalesce(given, *[F.col(f"b{k}") for k in range(len(lookups))], F.lit(""))).select(*rows.columns)
-    return rows.where("district <> '' and city <> ''").unionByName(filled)
+    filled = lacking.withColumn("district", F.coalesce(given, *[F.col(f"b{k}") for k in range(len(maps))], F.lit(""))).withColumn("city", F.col("_city"))
+    return filled.select(*rows.columns)
