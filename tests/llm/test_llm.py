@@ -165,6 +165,19 @@ def test_match_records(spark):
     assert matching.match_records(spark.createDataFrame([], REC), ents).count() == 0
 
 
+def test_candidates_by_location_and_city(spark):
+    cols = "rid string, sys string, listed boolean, x double, y double, bx double, by double, kind string, ckey string, bag string, parts string, ends string, city string, district string, office string, road string, door string"
+    row = lambda i, sysname, bag, x, y, district="d", parts="", door="", city="c", bx=None: (f"R{i:02d}", sysname, False, x, y, bx, y if bx else None, "E" if bag else "", bag, bag, parts, "", city, district, "", "r||路" if door else "", door)
+    rows = [row(1, "s1", "han yi", 116.0, 39.0), row(2, "s2", "", 116.0001, 39.0), row(3, "s2", "", 116.001, 39.0),  # a blank twin 10 m away; one 80 m away
+            row(4, "s1", "tang wang wu", 116.1, 39.0), row(5, "s2", "tang wang yu", 116.1001, 39.0), row(6, "s2", "tang wang yu", 116.1001, 39.0, parts="p2"),  # a misspelt name; another phase
+            row(7, "s1", "lan", 116.2, 39.0), row(8, "s2", "lan", None, None, district=""), row(9, "s2", "mei hua", 116.9, 39.0, district="", door="7"), row(10, "s1", "mei hui", 116.3, 39.0, door="7"),  # unknown district: by name, by door
+            row(11, "s1", "run", 116.4, 39.0), row(12, "s1", "run", 116.5, 39.0, district="e"), row(13, "s2", "run", 116.4001, 39.0, district=""),  # in two districts: the location tells
+            row(14, "s1", "", 117.0, 39.0, bx=116.6), *[row(15 + k, "s2", f"bag {k}" * 5, 117.0, 39.0) for k in range(3)], row(18, "s2", "gui", 116.6001, 39.0)]  # a default point; the polygon stays
+    table = matching.Cut(spark.createDataFrame(rows, cols), "test").df
+    got = sorted((r["rid_a"], r["rid_b"]) for r in matching.candidates(table).collect())
+    assert got == [("R01", "R02"), ("R04", "R05"), ("R07", "R08"), ("R09", "R10"), ("R11", "R13"), ("R14", "R18")]
+
+
 def test_mixture_separates():
     rng = np.random.default_rng(1)
     x = np.vstack((rng.choice([0.8, 1.0], (40, 5)), rng.choice([0.0, 0.3], (60, 5))))
