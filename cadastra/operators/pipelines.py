@@ -83,15 +83,18 @@ def report(test: Column, word: str) -> Column:
 
 def provider_hypotheses(seeds: DataFrame, polygons: DataFrame, buildings: DataFrame, cell: float = 0.005) -> DataFrame:
     """(seed_id, provider, area_m2, seed_m, count) proposals for seeds (seed_id, x, y, prior_m2): existing polygons
-    (poly_id, x, y, area_m2) whose centre is within 500 m, clusters of three or more buildings (b_id, x, y, area_m2)
+    (poly_id, x, y, area_m2) of another id than the seed's whose centre is within 500 m, clusters of three or more buildings (b_id, x, y, area_m2)
     in the seed's neighbourhood, and the prior circle. Providers without a proposal give no row."""
     at = lambda c: F.floor(F.col(c) / cell)
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    # a cell spans less than 500 m of longitude, two of them span more up to 63 degrees of latitude
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-2, -1, 0, 1, 2) for j in (-1, 0, 1)]))
     near = seeds.select("seed_id", "x", "y", around.alias("o")).select("seed_id", "x", "y", (at("x") + F.col("o.i")).alias("cx"), (at("y") + F.col("o.j")).alias("cy"))
 
     def meet(d: DataFrame) -> DataFrame:
-        d = d.select(F.col("x").alias("px"), F.col("y").alias("py"), "area_m2", at("x").alias("cx"), at("y").alias("cy"))
-        m = near.join(d, ["cx", "cy"]).withColumn("seed_m", F.hypot((F.col("x") - F.col("px")) * F.cos(F.radians("y")), F.col("y") - F.col("py")) * hypotheses.FLAT)
+        own = [c for c in d.columns if c == "poly_id"]
+        d = d.select(*own, F.col("x").alias("px"), F.col("y").alias("py"), "area_m2", at("x").alias("cx"), at("y").alias("cy"))
+        m = near.join(d, ["cx", "cy"])
+        m = (m.where("seed_id <> poly_id") if own else m).withColumn("seed_m", F.hypot((F.col("x") - F.col("px")) * F.cos(F.radians("y")), F.col("y") - F.col("py")) * hypotheses.FLAT)
         return m.where("seed_m <= 500")
 
     b0 = meet(polygons).select("seed_id", F.lit("EXISTING").alias("provider"), "area_m2", "seed_m", F.lit(1).cast("bigint").alias("count"))

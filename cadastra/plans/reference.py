@@ -663,14 +663,14 @@ def city_checks(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def provider_proposals(spark: SparkSession, d: str) -> DataFrame:
-    """Proposals of the boundary providers over fences, polygons of parts and buildings of suppliers, counted."""
+    """Proposals of the boundary providers for all fences over all other fences and buildings of suppliers, counted."""
     from ..operators.pipelines import knn_prior, provider_hypotheses
 
     f = views.fences(spark, d).select(C("id").alias("seed_id"), C("lng").alias("x"), C("lat").alias("y"), (C("width_m") * C("height_m")).alias("area_m2"))
     k = C("s_suppkey")
     b = table(spark, d, "supplier").select((F.lit(116.0) + (k * 7907 % 1000).cast("double") / 2000).alias("x"), (F.lit(39.6) + (k * 104723 % 1000).cast("double") / 2000).alias("y"), (k % 50 * 20 + 100).cast("double").alias("area_m2"))
-    seeds = f.join(knn_prior(f, f, 0.02), "seed_id", "left").where("seed_id % 3 = 0").select("seed_id", "x", "y", "prior_m2")
-    return provider_hypotheses(seeds, f.where("seed_id % 3 = 1"), b).groupBy("provider").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("seed_id").alias("seeds"))
+    seeds = f.join(knn_prior(f, f, 0.02), "seed_id", "left").select("seed_id", "x", "y", "prior_m2")
+    return provider_hypotheses(seeds, f.withColumnRenamed("seed_id", "poly_id"), b).groupBy("provider").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("seed_id").alias("seeds"))
 
 
 @query()

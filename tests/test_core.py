@@ -291,3 +291,13 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # a restart writes nothing twice
         append_ledger(spark.readStream.schema(spark.read.parquet(src).schema).parquet(src), out, cp).awaitTermination()
     assert spark.read.parquet(out).count() == 2
+
+
+def test_provider_proposals_of_all_fences(spark, data):
+    from cadastra.plans import reference, views
+
+    f = [(r["id"], r["lng"], r["lat"]) for r in views.fences(spark, data).collect()]
+    got = {r["provider"]: (r["n"], r["seeds"]) for r in reference.provider_proposals(spark, data).collect()}
+    near = lambda a, b: math.hypot((a[1] - b[1]) * math.cos(math.radians(a[2])), a[2] - b[2]) * hypotheses.FLAT <= 500
+    pairs = [(a[0], b[0]) for a in f for b in f if a[0] != b[0] and near(a, b)]
+    assert got.get("EXISTING", (0, 0)) == (len(pairs), len({a for a, _ in pairs})) and got["AREA_PRIOR"][0] > len(f) / 3
