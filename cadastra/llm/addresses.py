@@ -25,8 +25,8 @@ GAP_OPEN, GAP_MORE, SUBSTITUTE, DICTIONARY, RARE = 0.8, 0.3, 1.0, 0.4, 0.4
 MAX_COST = 0.5
 #: A road with less than this share of the other's records in its city is taken for a misspelling of it.
 RARE_SHARE = 0.02
-#: Records of classes whose roads differ must lie this near.
-NEAR_M = 80.0
+#: Records of classes whose roads differ must lie this near, unless more than this share of the two roads' located pairs does.
+NEAR_M, ONE_ROAD = 80.0, 0.5
 #: Kinds of road that are written for one another.
 ALIKE = frozenset({("街", "大街"), ("大街", "街"), ("路", "道"), ("道", "路"), ("大道", "大街"), ("大街", "大道"), ("大道", "道"), ("道", "大道")})
 
@@ -96,7 +96,7 @@ def address_pairs(records: DataFrame) -> DataFrame:
     Blank addresses and those without house number denote no door. A missing district is taken from the
     street office or the location; if it stays unknown, the class joins the only class of its city, road and
     door. Classes with different writings of a road are joined where the alignment allows it and the two
-    records lie near each other. Every pair comes once, however many records share a door.
+    records, or most located pairs of the two roads, lie near each other. Every pair comes once, however many records share a door.
     """
     rows = with_district(parsed(records, names=False, boxes=False).where("door <> '' and city <> ''").drop("sys", "bx", "by"), district_maps(records))
     a = Cut(one_per_record(rows.select("rid", "city", "district", "road", "door", "x", "y")), "doors").df
@@ -109,5 +109,10 @@ def address_pairs(records: DataFrame) -> DataFrame:
     links = class_links(doors).where("road_a <> road_b")
     side = lambda s: a.select("city", "door", *[F.col(c).alias(f"{c}_{s}") for c in ("district", "road", "rid", "x", "y")])
     cross = links.join(side("a"), ["city", "door", "district_a", "road_a"]).join(side("b"), ["city", "door", "district_b", "road_b"])
-    cross = cross.where(sphere_m(F.col("x_a"), F.col("y_a"), F.col("x_b"), F.col("y_b")) <= NEAR_M).select(F.least("rid_a", "rid_b").alias("rid_a"), F.greatest("rid_a", "rid_b").alias("rid_b"))
+    dist = sphere_m(F.col("x_a"), F.col("y_a"), F.col("x_b"), F.col("y_b"))
+    classes = ["city", "district_a", "road_a", "district_b", "road_b"]
+    cross = Cut(cross.select(*classes, F.least("rid_a", "rid_b").alias("rid_a"), F.greatest("rid_a", "rid_b").alias("rid_b"), (dist <= NEAR_M).alias("near")), "cross").df
+    # two roads most of whose located pairs are near are one, for records without or with a coarse location too
+    one = cross.where("near IS NOT NULL").groupBy(*classes).agg((F.avg(F.col("near").cast("int")) > ONE_ROAD).alias("one"))
+    cross = cross.join(one, classes, "left").where("near OR one").select("rid_a", "rid_b")
     return same.unionByName(unknown).unionByName(cross.distinct()).select(F.col("rid_a").alias("record_id_a"), F.col("rid_b").alias("record_id_b"))

@@ -128,6 +128,14 @@ def test_address_pairs(spark):
     assert addresses.address_pairs(spark.createDataFrame([], REC)).count() == 0
 
 
+def test_one_road_for_records_without_location(spark):
+    rows = [record(1, "a", "樱荫大街7号"), record(2, "b", "樱荫街7号", lng=116.0001), record(3, "c", "樱荫街7号", lng=None, lat=None), record(4, "d", "樱荫大街9号", lng=116.01), record(5, "e", "樱荫街9号", lng=116.0101), record(6, "f", "樱荫大街9号", lng=116.1),
+            record(7, "g", "竹岸大街7号", lng=116.2), record(8, "h", "竹岸街7号", lng=116.3), record(9, "i", "竹岸街7号", lng=None, lat=None)]
+    got = sorted(tuple(r) for r in addresses.address_pairs(spark.createDataFrame(rows, REC)).collect())
+    pair = lambda a, b: (f"SRC_{a:03d}", f"SRC_{b:03d}")
+    assert got == [pair(1, 2), pair(1, 3), pair(2, 3), pair(4, 5), pair(4, 6), pair(5, 6), pair(8, 9)]
+
+
 def test_alignment():
     assert addresses.align("樱荫|二|巷", "樱荫|二|巷", False) == 0 and addresses.align("樱荫||街", "樱荫||大街", False) == addresses.DICTIONARY
     assert addresses.align("樱荫|二|巷", "樱荫|一|巷", True) >= 1 and addresses.align("樱荫||路", "樱苗||路", True) <= addresses.MAX_COST < addresses.align("樱荫||路", "樱苗||路", False)
