@@ -74,31 +74,33 @@ def one_per_record(rows: DataFrame) -> DataFrame:
     return rows.groupBy("rid").agg(*[F.max(c).alias(c) for c in rest])
 
 
-def district_maps(records: DataFrame) -> list[tuple[list[str], DataFrame]]:
-    """(keys, table) of the usual district of each street office and location cell, from the plain columns of all
-    records; the tables are as long as there are offices and cells, and broadcast only if small."""
+def district_maps(records: DataFrame) -> DataFrame:
+    """(k0, k1, k2, k3, b_city, b_district): the usual city and district of each street office of a city and of each location
+    cell, from the plain columns of all records in one pass; as long as there are offices and cells, and broadcast only if small."""
     c = F.col
     plain = lambda k, ends: F.regexp_replace(F.when(~is_blank(c(k)), trimmed(c(k))), f"(?<=..)({ends})$", "")
     point = usable_point(c("point_raw_lng"), c("point_raw_lat"))
-    at = {f"{v}{k}": F.when(point, F.floor(c(f"point_raw_{n}") / w)) for k, w in enumerate(CELLS) for v, n in (("x", "lng"), ("y", "lat"))}
-    known = records.select(plain("city_raw", "市").alias("city"), plain("district_raw", "区|县").alias("district"), plain("street_raw", "街道办事处|街道|街办|办事处").alias("office"), *[v.alias(k) for k, v in at.items()])
+    known = records.select(plain("city_raw", "市").alias("city"), plain("district_raw", "区|县").alias("district"), plain("street_raw", "街道办事处|街道|街办|办事处").alias("office"), F.when(point, c("point_raw_lng")).alias("x"), F.when(point, c("point_raw_lat")).alias("y"))
     known = known.where("city IS NOT NULL AND district IS NOT NULL")
-    out = []
-    for keys in (["city", "office"], *[["city", f"x{k}", f"y{k}"] for k in range(len(CELLS))]):
-        n = known.where(F.col(keys[1]).isNotNull()).groupBy(*keys, "district").count()
-        best = n.groupBy(*keys).agg(F.max_by("district", F.struct("count", "district")).alias("best"), (F.max("count") / F.sum("count")).alias("share"), F.sum("count").alias("n"))
-        out.append((keys, small(Cut(best.where((F.col("share") >= AGREE) & (F.col("n") >= 3)).select(*keys, "best"), "districts"))))
-    return out
-
-
-def with_district(rows: DataFrame, maps: list[tuple[list[str], DataFrame]]) -> DataFrame:
-    """Fills an empty district from the street office's, then the location cell's usual one; where none tells, it
-    stays empty."""
-    lacking = rows.withColumns({f"{v}{k}": F.floor(F.col(v) / w) for k, w in enumerate(CELLS) for v in "xy"})
-    # rows that have a district meet no key, so that they don't crowd on a frequent one
-    lacking = lacking.withColumn("_city", F.col("city")).withColumn("city", F.when(F.col("district") == "", F.col("city")))
-    for k, (keys, side) in enumerate(maps):
-        lacking = lacking.join(side.withColumnRenamed("best", f"b{k}"), keys, "left")
-    given = F.when(F.col("district") != "", F.col("district"))
-    filled = lacking.withColumn("district", F.coalesce(given, *[F.col(f"b{k}") for k in range(len(maps))], F.lit(""))).withColumn("city", F.col("_city"))
+    none = F.lit(0).cast("long")
+    keys = [F.when(c("office").isNotNull(), F.struct(F.lit(0).alias("k0"), F.concat_ws("|", "city", "office").alias("k1"), none.alias("k2"), none.alias("k3")))]
+    keys += [F.when(c("x").isNotNull(), F.struct(F.lit(n + 1).alias("k0"), F.lit("").alias("k1"), F.floor(c("x") / w).alias("k2"), F.floor(c("y") / w).alias("k3"))) for n, w in enumerate(CELLS)]
+    n = known.select("city", "district", F.explode(F.array_compact(F.array(*keys))).alias("k")).groupBy("k.k0", "k.k1", "k.k2", "k.k3", "city", "district").count()
+    best = n.groupBy("k0", "k1", "k2", "k3").agg(F.max_by(F.struct("city", "district"), F.struct("count", "city", "district")).alias("best"), (F.max("count") / F.sum("count")).alias("share"), F.sum("count").alias("n"))
+    return small(Cut(best.where((F.col("share") >= AGREE) & (F.col("n") >= 3)).select("k0", "k1", "k2", "k3", F.col("best.city").alias("b_city"), F.col("best.district").alias("b_district")), "districts"))
+
+
+def with_district(rows: DataFrame, maps: DataFrame) -> DataFrame:
+    """Fills an empty district (and city) from the street office's, then the location cell's usual one; where none tells,
+    it stays empty."""
+    c = F.col
+    none = F.lit(0).cast("long")
+    keys = [F.when((c("office") != "") & (c("city") != ""), F.struct(F.lit(0).alias("k0"), F.concat_ws("|", "city", "office").alias("k1"), none.alias("k2"), none.alias("k3")))]
+    keys += [F.when(c("x").isNotNull(), F.struct(F.lit(n + 1).alias("k0"), F.lit("").alias("k1"), F.floor(c("x") / w).alias("k2"), F.floor(c("y") / w).alias("k3"))) for n, w in enumerate(CELLS)]
+    # rows that have both meet no key, so that they don't crowd on a frequent one
+    filled, same = rows.withColumn("_lacks", (c("district") == "") | (c("city") == "")), (c("b_city") == c("city")) | (c("city") == "")
+    for k in keys:
+        filled = filled.withColumn("_k", F.when(c("_lacks"), k)).select(*rows.columns, "_lacks", *[c(f"_k.{f}").alias(f) for f in ("k0", "k1", "k2", "k3")]).join(maps, ["k0", "k1", "k2", "k3"], "left")
+        filled = filled.withColumns({"district": F.when(c("_lacks") & (c("district") == "") & same, F.coalesce("b_district", F.lit(""))).otherwise(c("district")), "city": F.when(c("_lacks") & (c("city") == ""), F.coalesce("b_city", F.lit(""))).otherwise(c("city"))})
+        filled = filled.select(*rows.columns, "_lacks")
     return filled.select(*rows.columns)
