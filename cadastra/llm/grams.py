@@ -40,7 +40,7 @@ def address_terms(city: str, office: str, road: str, door: str, x: float | None,
     out = []
     if road:
         way = city + road.replace("大", "")
-        out += [("w" + way, 0.5), *([("g" + way + "#" + door, 1.2)] if door else [])]
+        out += [("w" + way, 0.5), *([("g" + way + "#" + door, 1.8)] if door else [])]
     if office:
         out.append(("o" + city + office, 0.5))
     if x is not None and y is not None:
