@@ -109,13 +109,15 @@ def idf_of(names: DataFrame) -> np.ndarray:
 NAME, ADDRESS = ("core", "sound", "ends"), ("city", "office", "road", "door", "x", "y")
 
 
-def with_cosines(pairs: DataFrame, idf: np.ndarray, keep: Iterable[str], suffix: tuple[str, str] = ("_a", "_b")) -> DataFrame:
-    """The columns `keep` of `pairs` with `name_cos` and `addr_cos` of the forms (NAME and ADDRESS columns with the suffixes);
-    null where one of the two says nothing."""
+def with_cosines(pairs: DataFrame, idf: np.ndarray, keep: Iterable[str], address: bool = True, suffix: tuple[str, str] = ("_a", "_b")) -> DataFrame:
+    """The columns `keep` of `pairs` with `name_cos` and, with `address`, `addr_cos` of the forms (NAME and ADDRESS columns
+    with the suffixes); null where one of the two says nothing."""
     keep = list(keep)
-    names = [*keep, *(f"{c}{s}" for s in suffix for c in (*NAME, *ADDRESS))]
+    forms = [*NAME, *(ADDRESS if address else ())]
+    names = [*keep, *(f"{c}{s}" for s in suffix for c in forms)]
+    out = ["name_cos", *(["addr_cos"] if address else [])]
     weights = pairs.sparkSession.sparkContext.broadcast(idf)  # BUCKETS numbers
-    n, k, m = len(keep), len(NAME), len(NAME) + len(ADDRESS)
+    n, k, m = len(keep), len(NAME), len(forms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = weights.value
@@ -123,11 +125,13 @@ def with_cosines(pairs: DataFrame, idf: np.ndarray, keep: Iterable[str], suffix:
         for b in batches:
             cols = [b.column(i).to_pylist() for i in range(n, n + 2 * m)]
             form = lambda lo, hi: list(zip(*cols[lo:hi], strict=True))
-            cos = [cosines(form(0, k), form(m, m + k), by_name), cosines(form(k, m), form(m + k, 2 * m), by_address)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(c, mask=np.isnan(c)) for c in cos)], names=[*keep, "name_cos", "addr_cos"])
+            cos = [cosines(form(0, k), form(m, m + k), by_name)]
+            if address:
+                cos.append(cosines(form(k, m), form(m + k, 2 * m), by_address))
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(c, mask=np.isnan(c)) for c in cos)], names=[*keep, *out])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*keep).schema)
-    return pairs.select(*names).mapInArrow(run, f"{schema}, name_cos double, addr_cos double")
+    return pairs.select(*names).mapInArrow(run, ", ".join([schema, *(f"{c} double" for c in out)]))
 
 
 def cells_around(x: Column, y: Column, side: float, reach: Column | None = None) -> Column:
