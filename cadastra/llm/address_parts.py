@@ -61,8 +61,9 @@ def _close_up(s: str) -> str:
     return out
 
 
-def parse_address(address: str | None, province: str | None = None, city: str | None = None, district: str | None = None, street: str | None = None) -> Address:
-    """Parts of an address; what it leaves out comes from the columns of its row."""
+def parse_address(address: str | None, province: str | None = None, city: str | None = None, district: str | None = None, street: str | None = None, typed: bool = False) -> Address:
+    """Parts of an address; what it leaves out comes from the columns of its row. With `typed` the road keeps its characters,
+    else look-alikes are folded."""
     p, c, d, o = short(province, "省"), short(city, "市"), short(district, "区县"), office_of(street)
     if not address or not (s := fold(address).strip()) or s in FILLERS:
         return Address(c, d, o, "", "")
@@ -89,7 +90,7 @@ def parse_address(address: str | None, province: str | None = None, city: str |
     m = _ROAD.search(s)
     if not m:
         return Address(c, d, o, "", "")
-    road = f"{m[1].translate(CONFUSED_ROAD)}|{m[2] or ''}|{ROAD_KINDS[m[3]]}"
+    road = f"{m[1] if typed else m[1].translate(CONFUSED_ROAD)}|{m[2] or ''}|{ROAD_KINDS[m[3]]}"
     door, tail = "", s[m.end() :]
     if (a := _AFTER.match(tail)) and not _INNER.match(tail, a.end()) and (value := number(a[2])):
         door = f"{a[1] or ''}{value}"

@@ -21,12 +21,12 @@ _NAME = ("kind", "core", "sound", "bag", "ends", "parts")
 _ADDRESS = ("city", "district", "office", "road", "door")
 
 
-def parsed(records: DataFrame, names: bool = True, addresses: bool = True, raw: bool = False, boxes: bool = True) -> DataFrame:
+def parsed(records: DataFrame, names: bool = True, addresses: bool = True, raw: bool = False, boxes: bool = True, typed: bool = False) -> DataFrame:
     """(rid, sys, x, y, bx, by, kind, core, sound, bag, ends, parts, ckey, city, district, office, road, door), a row per delivery.
 
     ckey is the characters of the name's core in order of their codes (empty for names in Latin letters).
     (x, y) is the location, (bx, by) the middle of the usable polygon
-    (without `boxes` only where the point is not usable). With `raw` the typed name comes too. Fields that a text leaves out, or all of a blank text, are empty strings; rows without an id are left out.
+    (without `boxes` only where the point is not usable). With `raw` the typed name comes too, with `typed` the road's characters are those typed. Fields that a text leaves out, or all of a blank text, are empty strings; rows without an id are left out.
     """
     c = F.col
     base = records.select(
@@ -45,7 +45,7 @@ def parsed(records: DataFrame, names: bool = True, addresses: bool = True, raw:
             cols: list[list[str]] = [[] for _ in fields]
             adds = [col.append for col in cols]
             for n, a, p, c, d, s in zip(name, addr, prov, city, dist, street, strict=True):
-                q = parse_address(a if addresses else None, p, c, d, s)
+                q = parse_address(a if addresses else None, p, c, d, s, typed)
                 district = q.district
                 if names:
                     m = parse_name(n, p, c, d)
