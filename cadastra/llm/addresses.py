@@ -19,7 +19,7 @@ from ..functions.columns import sphere_m
 from ..runtime import Cut, small
 from .hanzi import CONFUSED_ROAD
 from .pairs import group_join, group_pairs
-from .places import district_maps, one_per_record, parsed, with_district
+from .places import fill_districts, one_per_record, parsed
 
 #: Bands of so many MinHash rows: roads with a similarity of 0.4 (one other character) meet with a probability above 0.99.
 BANDS, ROWS = 40, 2
@@ -134,8 +134,8 @@ def address_pairs(records: DataFrame) -> DataFrame:
     door. Roads that the alignment takes for writings of one are one; roads that only the places can tell are joined for
     records that lie near each other, or for all their records where most located pairs do. Every pair comes once, however many records share a door.
     """
-    rows = with_district(parsed(records, names=False, boxes=False, typed=True).where("door <> '' and city <> ''").drop("sys", "bx", "by"), district_maps(records))
-    a = Cut(one_per_record(rows.select("rid", "city", "district", "road", "door", "x", "y")), "doors").df
+    rows = parsed(records, names=False, boxes=False, typed=True).where("door <> '' and city <> ''")
+    a = fill_districts(Cut(one_per_record(rows.select("rid", "city", "district", "office", "road", "door", "x", "y")), "doors").df).drop("office")
     links = Cut(road_links(a.groupBy("city", "road").agg(F.count(F.lit(1)).alias("n"))), "road-links").df
     writing = small(Cut(usual_writing(links), "writings"))
     a = a.join(writing, ["city", "road"], "left").withColumn("road", F.coalesce("usual", "road")).drop("usual")

@@ -89,20 +89,15 @@ def cosines(left: list[tuple], right: list[tuple], vector: Callable[..., Vector]
 
 def idf_of(names: DataFrame) -> np.ndarray:
     """Inverse document frequency of each bucket over all names (core, sound, ends); the driver gathers at most BUCKETS + 1 rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros(BUCKETS + 1, np.int64), 0
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                seen[list({t for t, _ in name_terms(*row)})] += 1
-                n += 1
-        seen[BUCKETS] = n
-        t = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(seen[t])], names=["t", "n"])
-
-    got = names.select("core", "sound", "ends").mapInArrow(run, "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n")).collect()
+    y, chars = F.filter(F.split("sound", " "), lambda a: a != ""), F.filter(F.split("core", ""), lambda a: a != "")
+    two = F.flatten(F.transform(y, lambda a, i: F.transform(F.slice(y, i + 2, F.size(y)), lambda b: F.concat(F.lit("b"), F.least(a, b), F.lit(" "), F.greatest(a, b)))))
+    next_to = F.transform(F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))), lambda b, i: F.concat(F.lit("d"), F.get(chars, i), b))
+    ends = F.transform(F.filter(F.split("ends", r"\|"), lambda a: a != ""), lambda a: F.concat(F.lit("e"), a))
+    terms = F.concat(F.transform(y, lambda a: F.concat(F.lit("s"), a)), two, F.transform(chars, lambda a: F.concat(F.lit("c"), a)), next_to, ends)
+    buckets = F.array_distinct(F.array_append(F.transform(terms, lambda t: F.crc32(t.cast("binary")) % BUCKETS), F.lit(BUCKETS).cast("bigint")))
+    got = names.select(F.explode(buckets).alias("t")).groupBy("t").count().collect()
     n = np.zeros(BUCKETS + 1)
-    n[[r["t"] for r in got]] = [r["n"] for r in got]
+    n[[r["t"] for r in got]] = [r["count"] for r in got]
     return np.log(1 + n[BUCKETS] / (1 + n[:BUCKETS]))
 
 

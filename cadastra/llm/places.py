@@ -69,38 +69,31 @@ def metres_apart(a: str, b: str) -> Column:
 
 
 def one_per_record(rows: DataFrame) -> DataFrame:
-    """One row per rid: deliveries of a record have the same content; should they differ, the greatest counts."""
-    rest = [c for c in rows.columns if c != "rid"]
-    return rows.groupBy("rid").agg(*[F.max(c).alias(c) for c in rest])
+    """One row per rid: deliveries of a record have the same content; should they differ, one of them counts."""
+    return rows.repartition("rid").dropDuplicates(["rid"])
 
 
-def district_maps(records: DataFrame) -> DataFrame:
-    """(k0, k1, k2, k3, b_city, b_district): the usual city and district of each street office of a city and of each location
-    cell, from the plain columns of all records in one pass; as long as there are offices and cells, and broadcast only if small."""
+def _district_keys() -> Column:
+    """The hashed keys under which a record asks for its district and tells it, the most telling first: its street office in
+    its city, then its location cells."""
     c = F.col
-    plain = lambda k, ends: F.regexp_replace(F.when(~is_blank(c(k)), trimmed(c(k))), f"(?<=..)({ends})$", "")
-    point = usable_point(c("point_raw_lng"), c("point_raw_lat"))
-    known = records.select(plain("city_raw", "市").alias("city"), plain("district_raw", "区|县").alias("district"), plain("street_raw", "街道办事处|街道|街办|办事处").alias("office"), F.when(point, c("point_raw_lng")).alias("x"), F.when(point, c("point_raw_lat")).alias("y"))
-    known = known.where("city IS NOT NULL AND district IS NOT NULL")
-    none = F.lit(0).cast("long")
-    keys = [F.when(c("office").isNotNull(), F.struct(F.lit(0).alias("k0"), F.concat_ws("|", "city", "office").alias("k1"), none.alias("k2"), none.alias("k3")))]
-    keys += [F.when(c("x").isNotNull(), F.struct(F.lit(n + 1).alias("k0"), F.lit("").alias("k1"), F.floor(c("x") / w).alias("k2"), F.floor(c("y") / w).alias("k3"))) for n, w in enumerate(CELLS)]
-    n = known.select("city", "district", F.explode(F.array_compact(F.array(*keys))).alias("k")).groupBy("k.k0", "k.k1", "k.k2", "k.k3", "city", "district").count()
-    best = n.groupBy("k0", "k1", "k2", "k3").agg(F.max_by(F.struct("city", "district"), F.struct("count", "city", "district")).alias("best"), (F.max("count") / F.sum("count")).alias("share"), F.sum("count").alias("n"))
-    return small(Cut(best.where((F.col("share") >= AGREE) & (F.col("n") >= 3)).select("k0", "k1", "k2", "k3", F.col("best.city").alias("b_city"), F.col("best.district").alias("b_district")), "districts"))
-
-
-def with_district(rows: DataFrame, maps: DataFrame) -> DataFrame:
-    """Fills an empty district (and city) from the street office's, then the location cell's usual one; where none tells,
-    it stays empty."""
+    office = F.when((c("office") != "") & (c("city") != ""), F.xxhash64(F.lit("o"), "city", "office"))
+    cells = [F.when(c("x").isNotNull(), F.xxhash64(F.lit(n), F.floor(c("x") / w), F.floor(c("y") / w))) for n, w in enumerate(CELLS)]
+    return F.filter(F.array(*[F.struct(F.lit(n).alias("n"), k.alias("k")) for n, k in enumerate((office, *cells))]), lambda z: z["k"].isNotNull())
+
+
+def fill_districts(rows: DataFrame) -> DataFrame:
+    """`rows` (a cut table with city, district, office, x, y, rid) with an empty district, or city, filled by the usual one of the street
+    office, then of the location cell; where none tells, it stays empty. Only the keys of rows that lack one are counted."""
     c = F.col
-    none = F.lit(0).cast("long")
-    keys = [F.when((c("office") != "") & (c("city") != ""), F.struct(F.lit(0).alias("k0"), F.concat_ws("|", "city", "office").alias("k1"), none.alias("k2"), none.alias("k3")))]
-    keys += [F.when(c("x").isNotNull(), F.struct(F.lit(n + 1).alias("k0"), F.lit("").alias("k1"), F.floor(c("x") / w).alias("k2"), F.floor(c("y") / w).alias("k3"))) for n, w in enumerate(CELLS)]
-    # rows that have both meet no key, so that they don't crowd on a frequent one
-    filled, same = rows.withColumn("_lacks", (c("district") == "") | (c("city") == "")), (c("b_city") == c("city")) | (c("city") == "")
-    for k in keys:
-        filled = filled.withColumn("_k", F.when(c("_lacks"), k)).select(*rows.columns, "_lacks", *[c(f"_k.{f}").alias(f) for f in ("k0", "k1", "k2", "k3")]).join(maps, ["k0", "k1", "k2", "k3"], "left")
-        filled = filled.withColumns({"district": F.when(c("_lacks") & (c("district") == "") & same, F.coalesce("b_district", F.lit(""))).otherwise(c("district")), "city": F.when(c("_lacks") & (c("city") == ""), F.coalesce("b_city", F.lit(""))).otherwise(c("city"))})
-        filled = filled.select(*rows.columns, "_lacks")
-    return filled.select(*rows.columns)
+    lacks = (c("district") == "") | (c("city") == "")
+    asked = rows.where(lacks).select("rid", c("city").alias("own"), F.explode(_district_keys()).alias("z")).select("rid", "own", "z.n", "z.k")
+    keys = small(Cut(asked.select("k").distinct(), "asked"))
+    told = rows.where(~lacks).select("city", "district", F.explode(_district_keys()).alias("z")).select("city", "district", "z.k").join(keys, "k", "left_semi")
+    votes = told.groupBy("k", "city", "district").count()
+    best = votes.groupBy("k").agg(F.max_by(F.struct("city", "district"), F.struct("count", "city", "district")).alias("best"), (F.max("count") / F.sum("count")).alias("share"), F.sum("count").alias("n_told"))
+    best = best.where((c("share") >= AGREE) & (c("n_told") >= 3)).select("k", "best")
+    answer = asked.join(best, "k").where((c("own") == "") | (c("own") == c("best.city"))).groupBy("rid").agg(F.min_by("best", "n").alias("best"))
+    filled = rows.where(lacks).join(answer, "rid", "left").withColumns({
+        "district": F.when(c("district") != "", c("district")).otherwise(F.coalesce("best.district", F.lit(""))), "city": F.when(c("city") != "", c("city")).otherwise(F.coalesce("best.city", F.lit("")))})
+    return rows.where(~lacks).unionByName(Cut(filled.select(*rows.columns), "filled").df)
