@@ -129,10 +129,11 @@ def with_cosines(pairs: DataFrame, idf: np.ndarray, keep: Iterable[str], address
     return pairs.select(*names).mapInArrow(run, ", ".join([schema, *(f"{c} double" for c in out)]))
 
 
-def cells_around(x: Column, y: Column, side: float, reach: Column | None = None) -> Column:
-    """The cell keys of a point on a grid: its own, and with `reach` (degrees of latitude) all cells that it reaches."""
+def cells_around(x: Column, y: Column, side: float, reach: Column | None = None, *with_: Column) -> Column:
+    """The hashed cells of a point on a grid: its own, and with `reach` (degrees of latitude) all cells that it reaches;
+    `with_` is hashed too."""
     if reach is None:
-        return F.array(F.concat_ws(",", F.floor(x / side), F.floor(y / side)))
+        return F.array(F.xxhash64(F.lit("l"), F.floor(x / side), F.floor(y / side), *with_))
     span = lambda v, r: F.sequence(F.floor((v - r) / side), F.floor((v + r) / side))
     wide = reach / F.greatest(F.lit(0.2), F.cos(F.radians(y)))
-    return F.flatten(F.transform(span(x, wide), lambda i: F.transform(span(y, reach), lambda j: F.concat_ws(",", i, j))))
+    return F.flatten(F.transform(span(x, wide), lambda i: F.transform(span(y, reach), lambda j: F.xxhash64(F.lit("l"), i, j, *with_))))

@@ -36,9 +36,13 @@ _ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii":
 NUM = r"(?:\d+|[零〇一二两三四五六七八九十百]+)"
 
 
+_FOLDED = frozenset(map(chr, FORMS))
+
+
 def fold(text: str) -> str:
     """Usual widths and forms, lower case, without hidden characters."""
-    return unicodedata.normalize("NFKC", text).translate(FORMS).lower()
+    t = unicodedata.normalize("NFKC", text)
+    return (t if _FOLDED.isdisjoint(t) else t.translate(FORMS)).lower()
 
 
 def number(text: str) -> int | None:

@@ -33,6 +33,7 @@ _MARKED = frozenset("期区县曲院门委务补原")
 _STAFF = re.compile("(?<!化)[职工宿舍]{3,4}")
 _NUMBER = re.compile(NUM)
 _KNOWN = frozenset(SYLLABLES.values())
+_CONFUSED = frozenset(map(chr, CONFUSED))
 
 
 class Name(NamedTuple):
@@ -106,8 +107,9 @@ def parse_name(name: str | None, province: str | None = None, city: str | None =
     parts = _parts(phase, area, court)
     if not _WORK_SIGNS.isdisjoint(s) and (d := _dorm(s)):
         return Name("D", d[0], d[0], d[0], d[1], parts, found)
-    s = s.replace("新材", "新村").translate(CONFUSED)
-    s = _TWICE.sub(r"\1", s)
+    s = s.replace("新材", "新村")
+    if not _CONFUSED.isdisjoint(s):
+        s = _TWICE.sub(r"\1", s.translate(CONFUSED))
     if len(s) >= 3 and s[0] in "老小市":
         s = s[1:]
     if m := _ENDING.match(s):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,11 +20,23 @@ CELLS = (0.002, 0.008)
 #: Share of a cell's or street office's records that must agree on a district.
 AGREE = 0.98
 _NAME = ("kind", "core", "sound", "bag", "ends", "parts")
+
+
+@lru_cache(maxsize=100_000)
+def syllable_mask(bag: str) -> int:
+    """The syllables as bits of a signed 64-bit number; all bits for no syllable, so that a blank name shares with any."""
+    m = 0
+    for y in bag.split():
+        m |= 1 << zlib.crc32(y.encode()) % 64
+    return (m if m < 1 << 63 else m - (1 << 64)) if m else -1
+
+
+
 _ADDRESS = ("city", "district", "office", "road", "door")
 
 
 def parsed(records: DataFrame, names: bool = True, addresses: bool = True, raw: bool = False, boxes: bool = True, typed: bool = False) -> DataFrame:
-    """(rid, sys, x, y, bx, by, kind, core, sound, bag, ends, parts, ckey, city, district, office, road, door), a row per delivery.
+    """(rid, sys, x, y, bx, by, kind, core, sound, bag, ends, parts, mask, ckey, city, district, office, road, door), a row per delivery.
 
     ckey is the characters of the name's core in order of their codes (empty for names in Latin letters).
     (x, y) is the location, (bx, by) the middle of the usable polygon
@@ -55,9 +69,10 @@ def parsed(records: DataFrame, names: bool = True, addresses: bool = True, raw:
                     row = (q.city, district, q.office, q.road, q.door)
                 for add, v in zip(adds, row, strict=True):
                     add(v)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(head)], *(pa.array(col, pa.string()) for col in cols)], names=[*head, *fields])
+            mask = [pa.array(map(syllable_mask, cols[3]), pa.int64())] if names else []
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(head)], *(pa.array(col, pa.string()) for col in cols), *mask], names=[*head, *fields, *(["mask"] if names else [])])
 
-    out = base.mapInArrow(run, "rid string, sys string, x double, y double, bx double, by double, " + ", ".join(f"{f} string" for f in (*head[6:], *fields)))
+    out = base.mapInArrow(run, "rid string, sys string, x double, y double, bx double, by double, " + ", ".join(f"{f} string" for f in (*head[6:], *fields)) + (", mask bigint" if names else ""))
     return out.withColumn("ckey", F.array_join(F.array_sort(F.split("core", "")), "")) if names else out
 
 
