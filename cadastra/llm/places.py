@@ -88,13 +88,12 @@ def one_per_record(rows: DataFrame) -> DataFrame:
     return rows.repartition("rid").dropDuplicates(["rid"])
 
 
-def _district_keys() -> Column:
+def _district_keys() -> list[Column]:
     """The hashed keys under which a record asks for its district and tells it, the most telling first: its street office in
-    its city, then its location cells."""
+    its city, then its location cells; null where it has none."""
     c = F.col
     office = F.when((c("office") != "") & (c("city") != ""), F.xxhash64(F.lit("o"), "city", "office"))
-    cells = [F.when(c("x").isNotNull(), F.xxhash64(F.lit(n), F.floor(c("x") / w), F.floor(c("y") / w))) for n, w in enumerate(CELLS)]
-    return F.filter(F.array(*[F.struct(F.lit(n).alias("n"), k.alias("k")) for n, k in enumerate((office, *cells))]), lambda z: z["k"].isNotNull())
+    return [office, *[F.when(c("x").isNotNull(), F.xxhash64(F.lit(n), F.floor(c("x") / w), F.floor(c("y") / w))) for n, w in enumerate(CELLS)]]
 
 
 def fill_districts(rows: DataFrame) -> DataFrame:
@@ -102,9 +101,9 @@ def fill_districts(rows: DataFrame) -> DataFrame:
     office, then of the location cell; where none tells, it stays empty. Only the keys of rows that lack one are counted."""
     c = F.col
     lacks = (c("district") == "") | (c("city") == "")
-    asked = rows.where(lacks).select("rid", c("city").alias("own"), F.explode(_district_keys()).alias("z")).select("rid", "own", "z.n", "z.k")
+    asked = rows.where(lacks).select("rid", c("city").alias("own"), F.posexplode(F.array(*_district_keys())).alias("n", "k")).where("k is not null")
     keys = small(Cut(asked.select("k").distinct(), "asked"))
-    told = rows.where(~lacks).select("city", "district", F.explode(_district_keys()).alias("z")).select("city", "district", "z.k").join(keys, "k", "left_semi")
+    told = rows.where(~lacks).select("city", "district", F.explode(F.array(*_district_keys())).alias("k")).join(keys, "k", "left_semi")
     votes = told.groupBy("k", "city", "district").count()
     best = votes.groupBy("k").agg(F.max_by(F.struct("city", "district"), F.struct("count", "city", "district")).alias("best"), (F.max("count") / F.sum("count")).alias("share"), F.sum("count").alias("n_told"))
     best = best.where((c("share") >= AGREE) & (c("n_told") >= 3)).select("k", "best")
