@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .polygons import parse_polygons
 
@@ -279,7 +279,7 @@ def _each(f, none):
 
 
 def to_wkt(ring: np.ndarray | None) -> str | None:
-    return None if ring is None else "POLYGON ((" + ", ".join(f"{x:.9g} {y:.9g}" for x, y in ring) + "))"
+    return None if ring is None else "POLYGON ((" + ", ".join(f"{x:.15g} {y:.15g}" for x, y in ring) + "))"
 
 
 def _udf(f, kind, none=None):
@@ -297,6 +297,28 @@ wkt_aspect = _udf(lambda q: (lambda s: s[0] / s[1] if s[1] else math.inf)(min_re
 wkt_simplified = _udf(lambda q: to_wkt(simplify(q, 5e-5)), StringType())
 
 
+def metre_ring(ring: np.ndarray) -> np.ndarray:
+    """A ring in degrees in metres around its middle latitude."""
+    y = float(ring[:, 1].mean())
+    return (ring - ring[0]) * np.array([111412.84 * math.cos(math.radians(y)), 111132.954])
+
+
+@F.pandas_udf(StructType([StructField("valid", BooleanType()), *[StructField(k, DoubleType()) for k in ("length_m", "width_m", "aspect")]]))
+def wkt_profile(shapes: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Validity, sides of the smallest rectangle and greatest width (twice the largest circle's radius) of a polygon text, in one
+    reading; null for other texts."""
+    for s in shapes:
+        rows = []
+        for q in map(_outer, s):
+            if q is None or len(q) < 4:
+                rows.append((None, None, None, None))
+                continue
+            m = metre_ring(q)
+            sides = min_rectangle(m)
+            rows.append((is_valid(q), sides[0], 2 * inscribed_radius(m), sides[0] / sides[1] if sides[1] else math.inf))
+        yield pd.DataFrame(rows, columns=["valid", "length_m", "width_m", "aspect"]).astype({"valid": "boolean", "length_m": float, "width_m": float, "aspect": float})
+
+
 @F.pandas_udf(DoubleType())
 def wkt_iou(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Overlap over union of two polygon texts, 0 where one is none."""

@@ -34,7 +34,7 @@ SIBLING = {"court": "SIBLING_COURTYARD", "building": "SIBLING_COURTYARD", "house
 #: Name marks of building functions, ontology types and default radii, first match wins.
 FUNCTION_WORDS = (("SCHOOL", "学校|小学|中学|幼儿园|大学"), ("MEDICAL", "医院|卫生院|诊所"), ("COMMERCIAL", "商场|超市|酒店|宾馆|商厦"), ("OFFICE", "写字楼|办公"), ("RESIDENTIAL", "住宅|公寓|小区|家园|花园|宿舍"))
 ONTOLOGY_WORDS = (("SCHOOL", "学校"), ("SCHOOL", "大学"), ("HOSPITAL", "医院"), ("PARK", "公园"), ("COURTYARD", "号院"), ("DORMITORY", "宿舍"), ("COMPOUND", "大院"), ("RESIDENTIAL_ESTATE", "小区"), ("RESIDENTIAL_ESTATE", "花园"), ("RESIDENTIAL_ESTATE", "家园"))
-RADIUS_WORDS = (("森林公园", 1500.0), ("公园", 500.0), ("寺", 120.0), ("山", 1000.0), ("湖", 800.0), ("博物馆", 150.0), ("广场", 200.0))
+RADIUS_WORDS = ((1500.0, "森林公园"), (500.0, "公园"), (120.0, "寺"), (1000.0, "山"), (800.0, "湖"), (150.0, "博物馆"), (200.0, "广场"))
 
 
 def entity_type(name: Column, building: Column | None = None, property_kind: Column | None = None) -> Column:

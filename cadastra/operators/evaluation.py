@@ -61,6 +61,23 @@ def stratified_sample(rows: DataFrame, stratum: str, key: Column, per: int) -> D
     return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per).drop("rn")
 
 
+def binned_sample(rows: DataFrame, score: str, order: list[str], n: int) -> DataFrame:
+    """A sample of `n` rows over ten bins of a score in 0..1: in each bin the first n / 10 by `order`, then the first of
+    the rest up to n. The rest is ranked after it is cut to n rows a bin, so no task sorts all rows."""
+    per = n // 10
+    w = Window.partitionBy("bin").orderBy(*order)
+    k = rows.withColumn("bin", F.least(F.lit(9), F.floor(F.col(score) * 10).cast("int"))).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
+    own = k.where(F.col("rn") <= per)
+    taken = own.agg(F.count(F.lit(1)).alias("taken"))
+    rest = k.where(F.col("rn") > per).withColumn("up", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(taken)).where(F.col("up") <= n - F.col("taken"))  # ten times n rows at most
+    return own.drop("rn").unionByName(rest.drop("rn", "up", "taken"))
+
+
+def weighted_mean(rows: DataFrame, key: str, value: str, weight: str) -> DataFrame:
+    """(key, mean): the mean of a value weighted by, say, lengths; null where all weights are 0."""
+    return rows.groupBy(key).agg((F.sum(F.col(value) * F.col(weight)) / F.nullif(F.sum(weight), F.lit(0.0))).alias("mean"))
+
+
 def histogram(value: Column, edges: tuple[float, ...]) -> Column:
     """The number of the bin [edges(i), edges(i+1)) a value lies in, null outside."""
     out = F.lit(None).cast("int")

@@ -37,6 +37,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame, key: str = "id",
         if mark == seen:
             break
         seen = mark
+    else:
+        raise RuntimeError(f"connected_components: not stable after {max_rounds} rounds")
     roots = now.df.groupBy(F.col("a").alias(key)).agg(F.min("b").alias("root"))
     return vertices.select(key).distinct().join(roots, key, "left").select(key, F.coalesce("root", key).alias("component"))
 

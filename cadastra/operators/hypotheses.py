@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import Cut
+
 #: Scale priors as (target, least, most m2, radius m, zoom); method priors; membership weights and levels.
 SCALES = {"COURTYARD": (3500.0, 500.0, 12000.0, 150.0, 18), "COMMUNITY": (25000.0, 5000.0, 120000.0, 350.0, 17), "ESTATE": (120000.0, 40000.0, 500000.0, 700.0, 16)}
 METHODS = {"ROAD_ENCLOSED_BLOCK": 0.90, "BUILDING_CONCAVE_HULL": 0.85, "AREA_CALIBRATED_BUFFER": 0.75}
@@ -115,12 +117,48 @@ def placebo_p(rows: DataFrame, key: str, angle: str, value: str) -> DataFrame:
     return rot.select(key, "raw", "better", (F.col("better") / (F.col("n") + 1)).alias("p"))
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, cell: float, rings: int = 1) -> DataFrame:
-    """(key, other, dist): the nearest `right` point (other, x, y) of each `left` one (key, x, y) within the cells
-    around it, ties by the smallest other; points with none there give no row."""
-    at = lambda c: F.floor(F.col(c) / cell)
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-rings, rings + 1) for j in range(-rings, rings + 1)])
-    a = left.select(key, "x", "y", F.explode(offsets).alias("o")).select(key, "x", "y", (at("x") + F.col("o.i")).alias("cx"), (at("y") + F.col("o.j")).alias("cy"))
-    b = right.select("other", F.col("x").alias("x2"), F.col("y").alias("y2"), at("x").alias("cx"), at("y").alias("cy"))
-    d = a.join(b, ["cx", "cy"]).withColumn("dist", F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")))
-    return d.groupBy(key).agg(F.min(F.struct("dist", "other")).alias("z")).select(key, "z.other", "z.dist")
+def k_nearest(left: DataFrame, right: DataFrame, key: str, cell: float, k: int = 1, apart: bool = False) -> DataFrame:
+    """(key, columns of right but x and y, dist): the k nearest `right` points (other, x, y, ...) of each `left` one (key, x, y), ties by
+    the smallest other, all of them where there are fewer; `apart` leaves out the point of the same id.
+
+    Points look into the cells around them; those for which that is not sure to hold the k nearest (fewer found, or the k-th
+    farther than the window) look again on a grid twice as coarse, until the window spans all points.
+    """
+    l, r = left.select(key, "x", "y"), right  # noqa: E741
+    box = r.agg(*[f(c) for c in "xy" for f in (F.min, F.max)]).join(l.agg(*[f(c).alias(f"l{i}{c}") for c in "xy" for i, f in enumerate((F.min, F.max))]), how="cross").first()  # one row
+    if box is None or box[0] is None or box[4] is None:
+        return l.join(r.select(*[c for c in r.columns if c not in ("x", "y")]).limit(0), how="cross").select(key, *[c for c in r.columns if c not in ("x", "y")], F.lit(0.0).alias("dist")).limit(0)
+    span = max(box[1], box[5]) - min(box[0], box[4]), max(box[3], box[7]) - min(box[2], box[6])
+    rest = [c for c in r.columns if c not in ("x", "y")]
+    out: DataFrame | None = None
+    todo, size = l, cell
+    while True:
+        last = size >= max(*span, cell)
+        at = lambda c, s=size: F.floor(F.col(c) / s)
+        offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        a = todo.select(key, "x", "y", F.explode(offsets).alias("o")).select(key, "x", "y", (at("x") + F.col("o.i")).alias("cx"), (at("y") + F.col("o.j")).alias("cy"))
+        b = r.select(*rest, F.col("x").alias("x2"), F.col("y").alias("y2"), at("x").alias("cx"), at("y").alias("cy"))
+        d = a.join(b, ["cx", "cy"])
+        d = d.where(F.col(key) != F.col("other")) if apart else d
+        d = d.withColumn("dist", F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")))
+        top = d.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy("dist", "other"))).where(F.col("rn") <= k).select(key, *rest, "dist", "rn")
+        if last:
+            got = top
+        else:
+            top = Cut(top, "nearest").df
+            sure = top.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("far")).where((F.col("n") == k) & (F.col("far") <= size)).select(key)
+            got, left_over = top.join(sure, key, "left_semi"), todo.join(sure, key, "left_anti")
+        got = got.select(key, *rest, "dist")
+        out = got if out is None else out.unionByName(got)
+        if last:
+            return out
+        todo = Cut(left_over, "unsure").df
+        if todo.isEmpty():
+            return out
+        size *= 2
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, cell: float) -> DataFrame:
+    """(key, other, dist): the nearest `right` point (other, x, y) of each `left` one (key, x, y), ties by the smallest other; no row
+    where there is no right point at all."""
+    return k_nearest(left, right.select("other", "x", "y"), key, cell).select(key, "other", "dist")

@@ -91,3 +91,8 @@ def legal(entity: Column, code: Column) -> Column:
     for e, c in ILLEGAL:
         out = out & ~((entity == e) & (code == c))
     return out
+
+
+def illegal_sql(entity: str, code: str) -> str:
+    """The same as a condition in SQL text, negated."""
+    return " OR ".join(f"({entity} = '{e}' AND {code} = '{c}')" for e, c in ILLEGAL)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,17 +24,17 @@ def assessed_records(records: DataFrame) -> DataFrame:
     """
     m = rings.measures(rings.ring_of(F.col("geometry_raw_wkt")))
     whole = lambda m: F.struct(m.alias("m"), crs.gcj02_to_wgs84(m["cx"], m["cy"]).alias("w"), rings.metric(m).alias("shape"))
-    r = records.withColumn("g", let(m, whole)).withColumn("valid", F.coalesce(kernel.wkt_valid("geometry_raw_wkt"), F.lit(False)))
+    r = records.withColumn("g", let(m, whole)).withColumn("_p", kernel.wkt_profile("geometry_raw_wkt")).withColumn("valid", F.coalesce("_p.valid", F.lit(False)))
     coord = let(F.col("g"), lambda g: crs.assess(F.col("point_raw_lng"), F.col("point_raw_lat"), g["m"]["cx"], g["m"]["cy"], g["w"]["lng"], g["w"]["lat"]))
 
     def judged(g: Column) -> Column:
-        width, long = 2 * g["area_m2"] / g["perimeter_m"], g["perimeter_m"] / 2
-        issues = quality.shape_issues(g["area_m2"], long, 2 * width, width, long / (2 * width), g["compactness"], F.col("valid"))
+        mean = 2 * g["area_m2"] / g["perimeter_m"]
+        issues = quality.shape_issues(g["area_m2"], F.col("_p.length_m"), F.col("_p.width_m"), mean, F.col("_p.aspect"), g["compactness"], F.coalesce(F.col("_p.valid"), F.lit(False)))
         return let(issues, lambda i: F.struct(i.alias("issues"), quality.shape_score(i).alias("score")))
 
     none = F.struct(F.array(F.lit("UNPARSEABLE_WKT")).alias("issues"), F.lit(None).cast("double").alias("score"))
     r = r.withColumns({"coord": coord, "qa": F.when(F.col("g.m").isNotNull(), let(F.col("g.shape"), judged)).otherwise(none), "entity_type": text.entity_type(F.col("name_raw"))})
-    return r.withColumn("decision", F.when(F.col("qa.score").isNull(), "REJECT").otherwise(quality.decision(F.col("qa.score"))))
+    return r.withColumn("decision", F.when(F.col("qa.score").isNull(), "REJECT").otherwise(quality.decision(F.col("qa.score")))).drop("_p")
 
 
 # ---- perception
@@ -86,9 +87,9 @@ def provider_hypotheses(seeds: DataFrame, polygons: DataFrame, buildings: DataFr
     (poly_id, x, y, area_m2) of another id than the seed's whose centre is within 500 m, clusters of three or more buildings (b_id, x, y, area_m2)
     in the seed's neighbourhood, and the prior circle. Providers without a proposal give no row."""
     at = lambda c: F.floor(F.col(c) / cell)
-    # a cell spans less than 500 m of longitude, two of them span more up to 63 degrees of latitude
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-2, -1, 0, 1, 2) for j in (-1, 0, 1)]))
-    near = seeds.select("seed_id", "x", "y", around.alias("o")).select("seed_id", "x", "y", (at("x") + F.col("o.i")).alias("cx"), (at("y") + F.col("o.j")).alias("cy"))
+    wide = F.ceil(F.lit(500 / hypotheses.FLAT / cell) / F.greatest(F.lit(0.05), F.cos(F.radians(F.abs("y") + 0.01)))).cast("int")
+    high = math.ceil(500 / hypotheses.FLAT / cell)
+    near = seeds.select("seed_id", "x", "y", F.explode(F.sequence(at("x") - wide, at("x") + wide)).alias("cx")).select("*", F.explode(F.sequence(at("y") - high, at("y") + high)).alias("cy"))
 
     def meet(d: DataFrame) -> DataFrame:
         own = [c for c in d.columns if c == "poly_id"]
@@ -104,14 +105,10 @@ def provider_hypotheses(seeds: DataFrame, polygons: DataFrame, buildings: DataFr
 
 
 def knn_prior(left: DataFrame, known: DataFrame, cell: float, k: int = 5) -> DataFrame:
-    """(seed_id, prior_m2): the median area of the k nearest known places in the cells around a seed, itself left out."""
-    at = lambda c: F.floor(F.col(c) / cell)
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    a = left.select("seed_id", "x", "y", around.alias("o")).select("seed_id", "x", "y", (at("x") + F.col("o.i")).alias("cx"), (at("y") + F.col("o.j")).alias("cy"))
-    b = known.select(F.col("seed_id").alias("other"), F.col("x").alias("px"), F.col("y").alias("py"), "area_m2", at("x").alias("cx"), at("y").alias("cy"))
-    d = a.join(b, ["cx", "cy"]).where("seed_id <> other").withColumn("dist", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")))
-    w = Window.partitionBy("seed_id").orderBy("dist", "other")
-    return d.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).groupBy("seed_id").agg(F.percentile("area_m2", F.lit(0.5)).alias("prior_m2"))
+    """(seed_id, prior_m2): the median area of the k nearest known places of a seed, itself left out; of all where there
+    are fewer. Ties go to the smaller id."""
+    near = hypotheses.k_nearest(left, known.select(F.col("seed_id").alias("other"), "x", "y", "area_m2"), "seed_id", cell, k, apart=True)
+    return near.groupBy("seed_id").agg(F.percentile("area_m2", F.lit(0.5)).alias("prior_m2"))
 
 
 # ---- generate and govern
@@ -139,15 +136,18 @@ def expectations(df: DataFrame, tests: dict[str, tuple[Column, float]]) -> DataF
     return x.select("check", F.round("value", 6).alias("value"), F.when(F.col("value") >= F.col("bound"), "PASS").when(F.col("value") >= F.col("bound") - 0.1, "WARN").otherwise("FAIL").alias("status"))
 
 
-def roster_match(roster: DataFrame, polygons: DataFrame, cell: float = 0.03) -> DataFrame:
+def roster_match(roster: DataFrame, polygons: DataFrame, cell: float = 0.03, own_only: bool = False) -> DataFrame:
     """(roster_id, poly_id, final): the best polygon of each roster entry by name score x (1 - min(km / 3, .5)), scores of
-    .55 and distances of 3 km bound the candidates; ties by the smallest polygon."""
+    .55 and distances of 3 km bound the candidates; ties by the smallest polygon. An entry looks into all cells that 3 km reach
+    at its latitude. `own_only` keeps polygons whose name is, holds or is held by the entry's."""
     at = lambda c: F.floor(F.col(c) / cell)
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    a = roster.select("roster_id", "name", "x", "y", around.alias("o")).select("roster_id", "name", "x", "y", (at("x") + F.col("o.i")).alias("cx"), (at("y") + F.col("o.j")).alias("cy"))
+    wide = F.ceil(F.lit(3 / 111.32 / cell) / F.greatest(F.lit(0.05), F.cos(F.radians(F.abs("y") + 0.03)))).cast("int")
+    high = math.ceil(3 / 111.32 / cell)
+    a = roster.select("roster_id", "name", "x", "y", F.explode(F.sequence(at("x") - wide, at("x") + wide)).alias("cx")).select("*", F.explode(F.sequence(at("y") - high, at("y") + high)).alias("cy"))
     b = polygons.select("poly_id", F.col("name").alias("pname"), F.col("x").alias("px"), F.col("y").alias("py"), at("x").alias("cx"), at("y").alias("cy"))
     km = F.hypot((F.col("x") - F.col("px")) * F.cos(F.radians("y")), F.col("y") - F.col("py")) * 111.32
-    score = F.when(F.col("name") == F.col("pname"), 1.0).when(F.col("pname").contains(F.col("name")) | F.col("name").contains(F.col("pname")), 0.9).otherwise(text.bigram_dice(F.col("name"), F.col("pname")))
+    other = F.lit(0.0) if own_only else text.bigram_dice(F.col("name"), F.col("pname"))
+    score = F.when(F.col("name") == F.col("pname"), 1.0).when(F.contains(F.col("pname"), F.col("name")) | F.contains(F.col("name"), F.col("pname")), 0.9).otherwise(other)
     j = a.join(b, ["cx", "cy"]).withColumns({"km": km, "s": score}).where("s >= 0.55 AND km <= 3")
     j = j.withColumn("final", F.col("s") * (1 - F.least(F.col("km") / 3, F.lit(0.5))))
     return j.groupBy("roster_id").agg(F.min_by(F.struct("poly_id", "final"), F.struct(-F.col("final"), F.col("poly_id"))).alias("z")).select("roster_id", "z.poly_id", "z.final")

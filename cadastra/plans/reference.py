@@ -578,7 +578,7 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {FENCES_SQL}, p AS (SELECT s_suppkey AS other, CAST(116.0 AS DOUBLE) + CAST((s_suppkey * 7907) % 1000 AS DOUBLE) / 2000 AS x2, CAST(39.6 AS DOUBLE) + CAST((s_suppkey * 104723) % 1000 AS DOUBLE) / 2000 AS y2 FROM supplier),
- j AS (SELECT id, other, sqrt(pow(lng - x2, 2) + pow(lat - y2, 2)) AS dist FROM fences JOIN p ON abs(floor(lng / CAST(0.05 AS DOUBLE)) - floor(x2 / CAST(0.05 AS DOUBLE))) <= 1 AND abs(floor(lat / CAST(0.05 AS DOUBLE)) - floor(y2 / CAST(0.05 AS DOUBLE))) <= 1)
+ j AS (SELECT id, other, sqrt(pow(lng - x2, 2) + pow(lat - y2, 2)) AS dist FROM fences CROSS JOIN p)
  SELECT id, {q('min(dist)', 6, 'dist')} FROM j GROUP BY 1""")
 def nearest_poi(spark: SparkSession, d: str) -> DataFrame:
     k = C("s_suppkey")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import profile, proximity
 from ..sources.tables import table
-from . import reference
+from . import files, names, reference, shapes, worlds  # noqa: F401
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

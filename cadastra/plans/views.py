@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
 
+TABLES = ("customer", "nation", "supplier", "part", "orders", "lineitem", "events", "source_records", "entity_relations")
 #: SQL of the views; every number is a double so that both engines agree.
 FENCES_SQL = """fences AS (
   SELECT c_custkey AS id, n_name AS city, c_mktsegment AS district, c_name AS name, c_acctbal AS bal,
@@ -28,6 +31,14 @@ RUNS_SQL = """runs AS (
 PRED_SQL = """pred AS (SELECT o_orderkey AS id, CAST((o_orderkey * 37) % 1001 AS DOUBLE) / 1000 AS confidence, (o_orderkey * 13) % 1000 < (o_orderkey * 37) % 1001 AS correct FROM orders)"""
 
 
+def inputs(spark: SparkSession, d: str, sql: str) -> DataFrame:
+    """The rows of a text that both engines read, over the tables that it names."""
+    for name in TABLES:
+        if re.search(rf"\b{name}\b", sql):
+            table(spark, d, name).createOrReplaceTempView(name)
+    return spark.sql(sql.replace("AS VARCHAR)", "AS STRING)"))
+
+
 def fences(spark: SparkSession, d: str) -> DataFrame:
     """Axis-aligned fences of customers: id, city, district, name, centre, sizes in metres and box in degrees."""
     c, n = table(spark, d, "customer"), table(spark, d, "nation")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -98,6 +99,90 @@ def read_overture(spark: SparkSession, path: str) -> DataFrame:
     return read_geojson(spark, path, outer_only=True).where("wkt IS NOT NULL")
 
 
+def read_footprints(spark: SparkSession, path: str) -> DataFrame:
+    """Building footprints: the polygons of FeatureCollections in a folder or file."""
+    return read_geojson(spark, path).where("startswith(wkt, 'POLYGON') OR startswith(wkt, 'MULTIPOLYGON')")
+
+
+def shape_records(shp: bytes, dbf: bytes | None = None) -> list[tuple[dict[str, str], str | None]]:
+    """(attributes, wkt) of a polygon, line or point shapefile; outer rings are clockwise there, holes the other way; null
+    shapes and other kinds have no text."""
+    rows: list[str | None] = []
+    at = 100
+    while at + 8 <= len(shp):
+        size = struct.unpack(">i", shp[at + 4 : at + 8])[0] * 2
+        body = shp[at + 8 : at + 8 + size]
+        at += 8 + size
+        kind = struct.unpack("<i", body[:4])[0] if len(body) >= 4 else 0
+        if kind == 1:
+            rows.append("POINT ({:.17g} {:.17g})".format(*struct.unpack("<2d", body[4:20])))
+            continue
+        if kind not in (3, 5):
+            rows.append(None)
+            continue
+        parts, points = struct.unpack("<2i", body[36:44])
+        starts = [*struct.unpack(f"<{parts}i", body[44 : 44 + 4 * parts]), points]
+        xy = struct.unpack(f"<{2 * points}d", body[44 + 4 * parts : 44 + 4 * parts + 16 * points])
+        rings = [[(xy[2 * k], xy[2 * k + 1]) for k in range(a, b)] for a, b in zip(starts, starts[1:], strict=False)]
+        text = lambda r: "(" + ", ".join(f"{x:.17g} {y:.17g}" for x, y in r) + ")"
+        if kind == 3:
+            rows.append("LINESTRING " + text(rings[0]) if parts == 1 else "MULTILINESTRING (" + ", ".join(map(text, rings)) + ")")
+            continue
+        polygons: list[list[str]] = []
+        for r in rings:
+            turn = sum((b[0] - a[0]) * (b[1] + a[1]) for a, b in zip(r, r[1:], strict=False))
+            if turn > 0 or not polygons:
+                polygons.append([])
+            polygons[-1].append(text(r))
+        rows.append("POLYGON (" + ", ".join(polygons[0]) + ")" if len(polygons) == 1 else "MULTIPOLYGON (" + ", ".join("(" + ", ".join(p) + ")" for p in polygons) + ")")
+    attrs: list[dict[str, str]] = [{} for _ in rows]
+    if dbf:
+        n, head, width = struct.unpack("<IHH", dbf[4:12])
+        fields = [(dbf[k : k + 11].split(b"\0")[0].decode("utf-8", "replace"), dbf[k + 16]) for k in range(32, head - 1, 32)]
+        for i in range(min(n, len(rows))):
+            pos = head + i * width + 1
+            for name, w in fields:
+                attrs[i][name] = dbf[pos : pos + w].decode("utf-8", "replace").strip()
+                pos += w
+    return list(zip(attrs, rows, strict=True))
+
+
+def read_shapefiles(spark: SparkSession, path: str) -> DataFrame:
+    """(layer, properties map, wkt) of the shapefiles of a folder (.shp with .dbf beside it), a task for each layer; coordinates are taken as
+    degrees of WGS-84. A missing folder raises."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{shp,dbf}").load(path).select("path", "content")
+    layers = files.groupBy(F.regexp_extract("path", r"([^/]+)\.\w+$", 1).alias("layer")).agg(F.max(F.when(F.col("path").endswith(".shp"), F.col("content"))).alias("shp"), F.max(F.when(F.col("path").endswith(".dbf"), F.col("content"))).alias("dbf")).where("shp IS NOT NULL")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(n, a, w) for n, s, b in zip(f["layer"], f["shp"], f["dbf"], strict=True) for a, w in shape_records(bytes(s), bytes(b) if b is not None else None)]
+            yield pd.DataFrame(rows, columns=["layer", "properties", "wkt"])
+
+    return layers.mapInPandas(run, "layer string, properties map<string,string>, wkt string")
+
+
+def to_observations(records: DataFrame) -> DataFrame:
+    """Records under the second contract: (observation_id, source, observed_features, geometry_wkt, observed_at)."""
+    c = F.col
+    feats = F.array_compact(F.array(c("name_raw"), c("address_raw"), F.concat(F.lit("city="), c("city_raw"))))
+    return records.select(c("source_record_id").alias("observation_id"), c("source_system").alias("source"), feats.alias("observed_features"), "geometry_raw_wkt", c("ingested_at").alias("observed_at")).withColumnRenamed("geometry_raw_wkt", "geometry_wkt")
+
+
+def to_representations(versions: DataFrame) -> DataFrame:
+    """Geometry versions under the second contract: (representation_id, entity_id, geometry_wkt, coordinate_reference, confidence, parent_id)."""
+    c = F.col
+    return versions.select(c("geometry_version_id").alias("representation_id"), c("canonical_entity_id").alias("entity_id"), "geometry_wkt", F.coalesce("coordinate_reference", F.lit("EPSG:4326")).alias("coordinate_reference"), c("geometry_confidence").alias("confidence"), c("parent_geometry_version_id").alias("parent_id"))
+
+
+#: Relation types of the first contract and the spatial relations of the second.
+SPATIAL = {"EXACT_DUPLICATE": "EQUALS", "SAME_ENTITY_ALT_BOUNDARY": "OVERLAPS", "WHOLE_TO_PHASE": "CONTAINS", "PHASE_TO_WHOLE": "WITHIN", "POSSIBLE_MERGE_ERROR": "OVERLAPS"}
+
+
+def spatial_relation(relation: Column) -> Column:
+    """The spatial relation of a relation type; RELATED for others."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SPATIAL.items() for x in kv]), relation), F.lit("RELATED"))
+
+
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """Rule table of land use (rule_id, priority, scope, fclass_pattern, name_pattern, gb_code), by priority."""
     return spark.read.option("header", True).option("escape", '"').csv(path).withColumn("priority", F.col("priority").cast("int")).orderBy("priority")
@@ -164,7 +249,7 @@ def read_map_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def sample_records(spark: SparkSession, n: int = 30) -> DataFrame:
     """Synthetic records with rectangles, the same at every call."""
-    h = lambda salt, m: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m))
+    h = lambda salt, m: F.col("id") * (7919, 104729, 31)[salt - 1] % m
     d = spark.range(n).select("id", (F.lit(116.3) + h(1, 1000) / 10_000).alias("x"), (F.lit(39.9) + h(2, 1000) / 10_000).alias("y"), (F.lit(0.0008) + h(3, 20) / 10_000).alias("w"))
     corner = lambda a, b: F.concat_ws(" ", F.round(F.col("x") + a * F.col("w") / 2, 6).cast("string"), F.round(F.col("y") + b * F.col("w") / 2, 6).cast("string"))
     ring = F.concat_ws(", ", corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1), corner(-1, -1))
@@ -190,5 +275,5 @@ class Registry:
 
 
 SOURCES = Registry()
-for _name, _f in (("excel", read_excel), ("workbook_csv", read_workbook_csv), ("geojson", read_geojson), ("overpass", read_overpass), ("overture", read_overture), ("road_tiles", read_road_tiles), ("rules", read_rules), ("gazetteer", read_gazetteer), ("map_pages", read_map_pages)):
+for _name, _f in (("excel", read_excel), ("workbook_csv", read_workbook_csv), ("geojson", read_geojson), ("overpass", read_overpass), ("overture", read_overture), ("road_tiles", read_road_tiles), ("rules", read_rules), ("gazetteer", read_gazetteer), ("map_pages", read_map_pages), ("footprints", read_footprints), ("shapefiles", read_shapefiles)):
     SOURCES.register(_name, _f)
