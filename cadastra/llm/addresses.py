@@ -21,15 +21,15 @@ from .hanzi import CONFUSED_ROAD
 from .pairs import group_join, group_pairs
 from .places import fill_districts, one_per_record, parsed
 
-#: Bands of so many MinHash rows: roads with a similarity of 0.4 (one other character) meet with a probability above 0.99.
-BANDS, ROWS = 40, 2
+#: Bands of so many MinHash rows: roads with a similarity of 3/11 (one other character) meet with a probability above 0.97.
+BANDS, ROWS = 48, 2
 #: Costs of the alignment: a gap and its continuation, another character, one of a misspelt road, a kind of the dictionary or a
 #: "great" before it, and a look-alike.
 GAP_OPEN, GAP_MORE, SUBSTITUTE, RARE, DICTIONARY, LOOKALIKE = 0.8, 0.3, 1.0, 0.45, 0.4, 0.2
 #: Roads up to SAME_COST apart are one road; up to MAX_COST if the places say so.
 SAME_COST, MAX_COST = 0.2, 0.5
 #: A road with less than this share of the other's records in its city may be a misspelling of it.
-RARE_SHARE = 0.3
+RARE_SHARE = 0.1
 #: Records on roads that only the places can tell must lie this near, unless more than this share of the two roads' located pairs does.
 NEAR_M, ONE_ROAD = 80.0, 0.5
 #: Kinds of road that are written for one another.
@@ -87,11 +87,11 @@ def _verified(pairs: DataFrame) -> DataFrame:
 
 
 def shingles() -> Column:
-    """Token and q-gram shingles of a road (base|side|kind): characters of the base with their places, side, kind without
-    "great", and pairs of them."""
+    """Token and q-gram shingles of a road (base|side|kind): the characters of the base with their places, the base, and each
+    character with the side and with the kind without "great". Roads that share no character of the base share none."""
     base, side, kind = (F.element_at(F.split("road", r"\|"), k) for k in (1, 2, 3))
     one, two, k = F.substring(base, 1, 1), F.substring(base, 2, 1), F.translate(kind, "大", "")
-    return F.array(F.concat(F.lit("1"), one), F.concat(F.lit("2"), two), F.concat(F.lit("s"), side), F.concat(F.lit("k"), k), F.concat(F.lit("b"), base), F.concat(F.lit("x"), one, k), F.concat(F.lit("y"), two, k))
+    return F.array(F.concat(F.lit("1"), one), F.concat(F.lit("2"), two), F.concat(F.lit("b"), base), F.concat(F.lit("x"), one, k), F.concat(F.lit("y"), two, k), F.concat(F.lit("v"), one, side), F.concat(F.lit("w"), two, side))
 
 
 def _minhash(tokens: Column, seed: int) -> Column:
@@ -99,17 +99,23 @@ def _minhash(tokens: Column, seed: int) -> Column:
 
 
 def candidate_roads(roads: DataFrame) -> DataFrame:
-    """(city, road_a, n_a, road_b, n_b) of the roads (city, road, n) of a city that share a band; pairs come once."""
+    """(city, road_a, n_a, road_b, n_b) of the roads (city, road, n) of a city that share a band and that the alignment can accept; pairs come once."""
     mins = [_minhash(F.col("sh"), k) for k in range(BANDS * ROWS)]
     bands = F.array(*[F.xxhash64(F.lit(k), *mins[k * ROWS : (k + 1) * ROWS]) for k in range(BANDS)])
-    banded = roads.withColumn("sh", shingles()).select("city", "road", "n", F.explode(bands).alias("band"))
-    return group_pairs(banded, ["city", "band"], "road").select("city", "road_a", "n_a", "road_b", "n_b").distinct()
+    fold = F.translate(F.element_at(F.split("road", r"\|"), 1), "".join(map(chr, CONFUSED_ROAD)), "".join(CONFUSED_ROAD.values()))
+    banded = roads.withColumns({"sh": shingles(), "fold": fold}).select("city", "road", "n", "fold", F.explode(bands).alias("band"))
+    # another base that is no look-alike costs little only for a rare road: no other pair can be accepted
+    fits = (F.col("fold_a") == F.col("fold_b")) | _rare()
+    return group_pairs(banded, ["city", "band"], "road", fits).select("city", "road_a", "n_a", "road_b", "n_b").distinct()
+
+
+def _rare() -> Column:
+    return F.least("n_a", "n_b") < RARE_SHARE * F.greatest("n_a", "n_b")
 
 
 def road_links(roads: DataFrame) -> DataFrame:
     """(city, road_a, road_b, cost) of different roads (city, road, n records) of a city that may be one."""
-    low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    p = candidate_roads(roads).withColumn("rare", low < RARE_SHARE * high)
+    p = candidate_roads(roads).withColumn("rare", _rare())
     return _verified(p).where(F.col("cost") <= MAX_COST)
 
 

@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 15
 #: Bound of the labelled sample the classifiers are fitted on (documents); chosen by a hash of the id.
 MAX_LABELLED = 1_500
-#: Characters of one labelled text used at most when fitting; scoring always takes whole texts.
-FIT_CHARS = 20_000
 FITS, EPOCHS, RATE, DECAY = 3, 30, 0.5, 1e-5
 #: A sentence belongs to a subject from this probability on.
 SENTENCE = 0.5
@@ -147,7 +145,7 @@ class Model:
 
 def train(texts: list[str], labels: list[set[str]], subjects: list[str]) -> Model:
     """Classifiers and thresholds from weakly labelled texts; the thresholds come from a fit on the other half."""
-    t = [x[:FIT_CHARS] for x in texts]
+    t = texts
     y = np.array([[s in ls for s in subjects] for ls in labels], float).reshape(len(labels), len(subjects))
 
     def weights(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +191,7 @@ def classify(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFra
     names = sorted(r[0] for r in subjects.select("subject_code").where("subject_code is not null").distinct().collect())  # the fixed table of subjects
     lab = labels.where("doc_id is not null and subject_code is not null").groupBy("doc_id").agg(F.collect_set("subject_code").alias("codes"))  # at most one of each subject
     sample = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text"), "codes").orderBy("doc_id").collect()
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "codes").orderBy("doc_id").collect()
     if not rows or not names:
         return docs.select("doc_id", F.lit("").alias("subject_code")).limit(0)
     model = train([r["text"] for r in rows], [set(r["codes"]) for r in rows], names)
