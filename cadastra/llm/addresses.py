@@ -21,8 +21,8 @@ from .hanzi import CONFUSED_ROAD
 from .pairs import group_join, group_pairs
 from .places import fill_districts, one_per_record, parsed
 
-#: Bands of so many MinHash rows: roads with a similarity of 3/11 (one other character) meet with a probability above 0.97.
-BANDS, ROWS = 48, 2
+#: Bands of so many MinHash rows: roads with a similarity of 3/11 (one other character) meet with a probability above 0.99.
+BANDS, ROWS = 64, 2
 #: Costs of the alignment: a gap and its continuation, another character, one of a misspelt road, a kind of the dictionary or a
 #: "great" before it, and a look-alike.
 GAP_OPEN, GAP_MORE, SUBSTITUTE, RARE, DICTIONARY, LOOKALIKE = 0.8, 0.3, 1.0, 0.45, 0.4, 0.2
