@@ -263,8 +263,8 @@ def segments(ring: np.ndarray, corner: float = -0.707) -> list[tuple[int, int, f
 def _outer(wkt: str | None) -> np.ndarray | None:
     """The largest outer ring of a polygon text; null for any other text."""
     try:
-        parts = parse_polygons(wkt) if wkt else []
-        return max((p[0] for p in parts), key=lambda q: abs(area(q)), default=None)
+        parts = parse_polygons(wkt) if wkt and "polygon" in wkt[:40].lower() else []
+        return max((p[0] for p in parts if len(p[0]) >= 4), key=lambda q: abs(area(q)), default=None)
     except (ValueError, IndexError):
         return None
 

@@ -197,7 +197,7 @@ def wkt_area(shapes: Iterator[pd.Series]) -> Iterator[pd.Series]:
         out = []
         for w in s:
             try:
-                ps = parse_polygons(w) if w else []
+                ps = parse_polygons(w) if w and "polygon" in w[:40].lower() else []
             except (ValueError, IndexError):
                 ps = []
             out.append(float(sum(abs(area(p[0])) - sum(abs(area(h)) for h in p[1:]) for p in ps)))

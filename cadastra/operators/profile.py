@@ -46,7 +46,7 @@ def _value(column: str) -> tuple[Column, Column]:
         return F.struct(mask.alias("mask"), kind.alias("kind")), c
     outside = lambda b: (b["x0"] < LNG_MIN) | (b["x1"] > LNG_MAX) | (b["y0"] < LAT_MIN) | (b["y1"] > LAT_MAX)
     # foreign and broken texts are as long as their polygons: their masks fold runs of numbers and positions
-    short = lambda m: F.substring(F.regexp_replace(F.regexp_replace(m, r"[np](?:[^a-z]+[np])+", "n+"), r"R(?:,R)+", "R+"), 1, 60)
+    short = lambda m: F.regexp_replace(F.regexp_replace(m, r"[np](?:[^a-z]+[np])+", "n+"), r"R(?:,R)+", "R+")
     sound = let(wkt_box(c), lambda b: F.when(outside(b), "range").otherwise("sound"))
     kind = lambda m: F.when(m.rlike(r"^\w+\s*empty$"), "missing").when(~is_polygon(m), "format").otherwise(sound)
     both = let(wkt_mask(c), lambda m: F.struct(short(m).alias("mask"), kind(m).alias("kind")))

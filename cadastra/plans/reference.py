@@ -414,11 +414,11 @@ def ledger_snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {LEDGER_SQL}, c AS (SELECT entity_id, count(*) FILTER (WHERE kind = 'SUPPORTING') AS s, count(*) FILTER (WHERE kind = 'REFUTING') AS f FROM ledger GROUP BY 1),
- m AS (SELECT entity_id, 1 - pow(CAST(0.4 AS DOUBLE), least(s, 6)) AS hs, pow(CAST(0.4 AS DOUBLE), least(s, 6)) AS us, 1 - pow(CAST(0.4 AS DOUBLE), least(f, 6)) AS nr, pow(CAST(0.4 AS DOUBLE), least(f, 6)) AS ur FROM c)
+ m AS (SELECT entity_id, 1 - pow(CAST(0.4 AS DOUBLE), s) AS hs, pow(CAST(0.4 AS DOUBLE), s) AS us, 1 - pow(CAST(0.4 AS DOUBLE), f) AS nr, pow(CAST(0.4 AS DOUBLE), f) AS ur FROM c)
  SELECT entity_id, {q('hs * ur / (1 - hs * nr)', 6, 'h')}, {q('nr * us / (1 - hs * nr)', 6, 'nn')}, {q('hs * nr', 6, 'conflict')} FROM m""")
 def ds_opinion(spark: SparkSession, d: str) -> DataFrame:
     n = views.ledger(spark, d).groupBy("entity_id").agg(F.count_if(C("kind") == "SUPPORTING").alias("s"), F.count_if(C("kind") == "REFUTING").alias("f"))
-    m = trust.count_masses(F.least("s", F.lit(6)), F.least("f", F.lit(6)))
+    m = trust.count_masses(C("s"), C("f"))
     return n.withColumn("m", m).select("entity_id", r(C("m.h"), 6, "h"), r(C("m.n"), 6, "nn"), r(C("m.conflict"), 6, "conflict"))
 
 
