@@ -25,8 +25,12 @@ from ..runtime import Cut, small
 
 #: Rows of one cell that one task piece takes.
 PIECE_ROWS = 2_000
-#: Cells per degree of the covering's levels, coarse to fine (about 860, 215 and 54 m of latitude).
-LEVELS = (128, 512, 2048)
+#: Points of one cell that one task piece takes when they meet regions.
+PIECE_POINTS = 50_000
+#: Cells per degree of the covering's levels, coarse to fine (the finest are about 860, 215 and 54 m of latitude).
+LEVELS = (2, 8, 32, 128, 512, 2048)
+#: A covering starts at the level of usual regions, or at the finest coarser one on which the region's box has at most so many cells.
+START, START_CELLS = 3, 4096
 
 
 def located(records: DataFrame, key: str = "source_record_id") -> DataFrame:
@@ -78,9 +82,13 @@ def cover_polygon(parts: list[list[np.ndarray]]) -> Iterator[tuple[int, np.ndarr
         e = np.concatenate([np.hstack((r[:-1], r[1:])) for r in rings])
         x0, x1, y0, y1 = np.minimum(e[:, 0], e[:, 2]), np.maximum(e[:, 0], e[:, 2]), np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3])
         dx, dy = e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]
-        s = LEVELS[0]
+        first = START
+        while first and (x1.max() - x0.min() + 2 / LEVELS[first]) * (y1.max() - y0.min() + 2 / LEVELS[first]) * LEVELS[first] ** 2 > START_CELLS:
+            first -= 1
+        s = LEVELS[first]
         i, j = (g.ravel() for g in np.meshgrid(np.arange(math.floor(x0.min() * s), math.floor(x1.max() * s) + 1), np.arange(math.floor(y0.min() * s), math.floor(y1.max() * s) + 1)))
-        for lv, s in enumerate(LEVELS):
+        for lv in range(first, len(LEVELS)):
+            s = LEVELS[lv]
             cx, cy, h = ((i + 0.5) / s)[:, None], ((j + 0.5) / s)[:, None], 0.5 / s + 1e-12
             near = (y1 >= cy - h) & (y0 <= cy + h) & (x1 >= cx - h)  # edges that can lie right of a point of the cell
             off = dx * (cy - e[:, 1]) - dy * (cx - e[:, 0])
@@ -139,11 +147,19 @@ def points_within(points: DataFrame, regions: DataFrame) -> DataFrame:
     Regions without a usable polygon hold nothing; of regions with one id each shape counts, and a hit comes
     once. Self-crossing rings count by the even-odd rule, multipolygons by any of their parts.
     """
-    cells = covering(regions.where(usable_box(F.col("wkt")).isNotNull()).distinct()).withColumnRenamed("id", "region_id")
+    cells = Cut(covering(regions.where(usable_box(F.col("wkt")).isNotNull()).distinct()).withColumnRenamed("id", "region_id"), "covering").df
+    used = sorted(r[0] for r in cells.select("lv").distinct().collect())  # of six levels
+    if not used:
+        return cells.select("region_id").limit(0).join(points.select("id").limit(0), how="cross")
     pts = points.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
-    at = F.array(*[F.struct(F.lit(lv).alias("lv"), F.floor(F.col("x") * s).cast("int").alias("i"), F.floor(F.col("y") * s).cast("int").alias("j")) for lv, s in enumerate(LEVELS)])
+    at = F.array(*[F.struct(F.lit(lv).alias("lv"), F.floor(F.col("x") * LEVELS[lv]).cast("int").alias("i"), F.floor(F.col("y") * LEVELS[lv]).cast("int").alias("j")) for lv in used])
     p = pts.select("id", "x", "y", F.explode(at).alias("k")).select("id", "x", "y", "k.lv", "k.i", "k.j")
-    j = cells.join(p, ["lv", "i", "j"])
+    # cells with many points are cut into pieces, and the regions there go to all of them
+    hot = p.groupBy("lv", "i", "j").count().where(F.col("count") > PIECE_POINTS).select("lv", "i", "j", F.ceil(F.col("count") / PIECE_POINTS).cast("int").alias("pieces"))
+    hot = small(Cut(hot, "hot-cells"))
+    p = p.join(hot, ["lv", "i", "j"], "left").withColumn("piece", F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1))).cast("int")).drop("pieces")
+    c = cells.join(hot, ["lv", "i", "j"], "left").withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).drop("pieces")
+    j = c.join(p, ["lv", "i", "j", "piece"])
     hit = F.col("edges").isNull() | (crossings(F.col("x"), F.col("y"), F.col("edges")) % 2 == 1)
     return j.where(hit).select("region_id", "id").distinct()
 
