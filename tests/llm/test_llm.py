@@ -231,7 +231,7 @@ def test_average_linkage(spark):
     """Fixed groups stay apart, equally near ones are joined by nothing, pairs join each other."""
     edge = lambda a, b, s, m=1: (a, b, s, 1, m)
     rows = [edge("x1", "=E3", 1.8, 2), edge("x1", "=E2", 0.9, 2), edge("x2", "x1", 0.9), edge("x1", "x2", 0.9), edge("x3", "=E1", 0.7), edge("x3", "=E2", 0.7), edge("x4", "x5", 0.8), edge("x5", "x4", 0.8), edge("x6", "=E2", 0.2)]
-    got = {r["a"]: r["root"] for r in variants.average_linkage(spark.createDataFrame(rows, "a string, b string, sum double, n int, m int")).collect()}
+    got = {r["a"]: r["root"] for r in variants.average_linkage(spark.createDataFrame(rows, "a string, b string, sum double, n int, m int"), variants.THRESHOLD).collect()}
     assert got["x1"] == "=E3" and "x3" not in got and "x6" not in got and got.get("x5") == "x4" and not got.get("x4", "").startswith("=")
 
 
