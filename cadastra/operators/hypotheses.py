@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import Cut
+from ..runtime import Cut, small
 
 #: Scale priors as (target, least, most m2, radius m, zoom); method priors; membership weights and levels.
 SCALES = {"COURTYARD": (3500.0, 500.0, 12000.0, 150.0, 18), "COMMUNITY": (25000.0, 5000.0, 120000.0, 350.0, 17), "ESTATE": (120000.0, 40000.0, 500000.0, 700.0, 16)}
@@ -119,43 +119,46 @@ def placebo_p(rows: DataFrame, key: str, angle: str, value: str) -> DataFrame:
 
 def k_nearest(left: DataFrame, right: DataFrame, key: str, cell: float, k: int = 1, apart: bool = False) -> DataFrame:
     """(key, columns of right but x and y, dist): the k nearest `right` points (other, x, y, ...) of each `left` one (key, x, y), ties by
-    the smallest other, all of them where there are fewer; `apart` leaves out the point of the same id.
+    the smallest other, all of them where there are fewer; `apart` leaves out the point of the same id. Points without numbers take no part.
 
-    Points look into the cells around them; those for which that is not sure to hold the k nearest (fewer found, or the k-th
-    farther than the window) look again on a grid twice as coarse, until the window spans all points.
+    Rows at one place have the same neighbours, so places are searched, and of the rows at one place only those with the smallest
+    ids can be among the nearest. Places look into the cells around them, of a side that fits their density (`cell` at most); those for
+    which that is not sure to hold enough (fewer found, or the last farther than the window) look again on a grid twice as
+    coarse, until the window spans all points.
     """
-    l, r = left.select(key, "x", "y"), right  # noqa: E741
-    box = r.agg(*[f(c) for c in "xy" for f in (F.min, F.max)]).join(l.agg(*[f(c).alias(f"l{i}{c}") for c in "xy" for i, f in enumerate((F.min, F.max))]), how="cross").first()  # one row
-    if box is None or box[0] is None or box[4] is None:
-        return l.join(r.select(*[c for c in r.columns if c not in ("x", "y")]).limit(0), how="cross").select(key, *[c for c in r.columns if c not in ("x", "y")], F.lit(0.0).alias("dist")).limit(0)
-    span = max(box[1], box[5]) - min(box[0], box[4]), max(box[3], box[7]) - min(box[2], box[6])
-    rest = [c for c in r.columns if c not in ("x", "y")]
-    out: DataFrame | None = None
-    todo, size = l, cell
+    some = lambda d: d.where(~(F.isnan("x") | F.isnan("y")))
+    l, r = some(left.select(key, "x", "y")), some(right)  # noqa: E741
+    rest = [c for c in r.columns if c not in ("x", "y", "other")]
+    most = k + ((r.groupBy("other").count().agg(F.max("count")).first()[0] or 0) if apart else 0)
+    r = r.withColumn("rn", F.row_number().over(Window.partitionBy("x", "y").orderBy("other"))).where(F.col("rn") <= most)
+    r = Cut(r.select("other", *rest, F.col("x").alias("x2"), F.col("y").alias("y2"), (F.col("rn") == 1).cast("int").alias("first")), "places").df
+    box = r.agg(*[f(c) for c in ("x2", "y2") for f in (F.min, F.max)], F.sum("first")).join(l.agg(*[f(c).alias(f"l{i}{c}") for c in "xy" for i, f in enumerate((F.min, F.max))]), how="cross").first()  # one row
+    if box is None or box[0] is None or box[5] is None:
+        return l.join(r.select("other", *rest).limit(0), how="cross").select(key, "other", *rest, F.lit(0.0).alias("dist")).limit(0)
+    span = max(box[1], box[6]) - min(box[0], box[5]), max(box[3], box[8]) - min(box[2], box[7])
+    fit = max(math.sqrt(span[0] * span[1] * most / box[4]), max(span) * most / box[4])
+    found: DataFrame | None = None
+    todo, size = l.select("x", "y").distinct(), min(cell, fit) if fit > 0 else cell
+    near = F.struct("dist", "other", *rest)
     while True:
         last = size >= max(*span, cell)
         at = lambda c, s=size: F.floor(F.col(c) / s)
         offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        a = todo.select(key, "x", "y", F.explode(offsets).alias("o")).select(key, "x", "y", (at("x") + F.col("o.i")).alias("cx"), (at("y") + F.col("o.j")).alias("cy"))
-        b = r.select(*rest, F.col("x").alias("x2"), F.col("y").alias("y2"), at("x").alias("cx"), at("y").alias("cy"))
-        d = a.join(b, ["cx", "cy"])
-        d = d.where(F.col(key) != F.col("other")) if apart else d
-        d = d.withColumn("dist", F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")))
-        top = d.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy("dist", "other"))).where(F.col("rn") <= k).select(key, *rest, "dist", "rn")
+        a = todo.select("x", "y", F.explode(offsets).alias("o")).select("x", "y", (at("x") + F.col("o.i")).alias("cx"), (at("y") + F.col("o.j")).alias("cy"))
+        d = a.join(r.withColumns({"cx": at("x2"), "cy": at("y2")}), ["cx", "cy"]).withColumn("dist", F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")))
+        top = d.withColumn("rn", F.row_number().over(Window.partitionBy("x", "y").orderBy("dist", "other"))).where(F.col("rn") <= most)
+        top = Cut(top.groupBy("x", "y").agg(F.sort_array(F.collect_list(near)).alias("near")), "nearest").df  # most at most
+        sure = top if last else top.where((F.size("near") == most) & (F.element_at("near", -1)["dist"] <= size))
+        found = sure if found is None else found.unionByName(sure)
         if last:
-            got = top
-        else:
-            top = Cut(top, "nearest").df
-            sure = top.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("far")).where((F.col("n") == k) & (F.col("far") <= size)).select(key)
-            got, left_over = top.join(sure, key, "left_semi"), todo.join(sure, key, "left_anti")
-        got = got.select(key, *rest, "dist")
-        out = got if out is None else out.unionByName(got)
-        if last:
-            return out
-        todo = Cut(left_over, "unsure").df
+            break
+        todo = Cut(todo.join(sure.select("x", "y"), ["x", "y"], "left_anti"), "unsure").df
         if todo.isEmpty():
-            return out
+            break
         size *= 2
+    out = l.join(small(Cut(found, "found")), ["x", "y"])
+    out = out.withColumn("near", F.slice(F.filter("near", lambda z: z["other"] != F.col(key)) if apart else F.col("near"), 1, k))
+    return out.select(key, F.explode("near").alias("z")).select(key, *[f"z.{c}" for c in right.columns if c not in ("x", "y")], "z.dist")
 
 
 def nearest(left: DataFrame, right: DataFrame, key: str, cell: float) -> DataFrame:

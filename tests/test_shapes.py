@@ -2,6 +2,7 @@
 
 import random
 import struct
+import time
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -154,3 +155,11 @@ def test_points_within_large_region_and_hot_cell(spark):
     assert n[1] == 100_000 and n.get(2, 0) == inside
 
 
+
+
+def test_prior_of_many_at_one_place(spark):
+    t = time.time()
+    f = spark.range(20_000).select(F.col("id").alias("seed_id"), (116 + F.col("id") % 2 / 100).alias("x"), F.lit(39.0).alias("y"), F.col("id").cast("double").alias("area_m2"))
+    got = {r["seed_id"]: r["prior_m2"] for r in pipelines.knn_prior(f, f, 0.02).where("seed_id IN (0, 4, 7, 19999)").collect()}
+    assert got == {0: 6.0, 4: 6.0, 7: 5.0, 19999: 5.0}  # the five smallest even or odd ids, itself left out
+    assert time.time() - t < 60  # not the 200 million pairs
