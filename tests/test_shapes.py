@@ -163,3 +163,12 @@ def test_prior_of_many_at_one_place(spark):
     got = {r["seed_id"]: r["prior_m2"] for r in pipelines.knn_prior(f, f, 0.02).where("seed_id IN (0, 4, 7, 19999)").collect()}
     assert got == {0: 6.0, 4: 6.0, 7: 5.0, 19999: 5.0}  # the five smallest even or odd ids, itself left out
     assert time.time() - t < 60  # not the 200 million pairs
+
+
+def test_nearest_of_many_at_one_place(spark):
+    t = time.time()
+    a = spark.range(20_000).select(F.col("id").alias("k"), F.when(F.col("id") == 9, float("nan")).otherwise(116.0).alias("x"), F.lit(39.0).alias("y"))
+    b = spark.range(20_001).select((F.col("id") + 5).alias("other"), F.when(F.col("id") == 0, 117.0).otherwise(116.01).alias("x"), F.lit(39.0).alias("y"))
+    got = hypotheses.nearest(a, b, "k", 0.05).groupBy("other", F.round("dist", 6).alias("dist")).count().collect()
+    assert [tuple(r) for r in got] == [(6, 0.01, 19_999)]  # a point without numbers has no nearest one
+    assert time.time() - t < 60  # not the 400 million pairs
