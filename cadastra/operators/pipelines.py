@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crs, kernel, rings, text
 from ..functions.columns import let, usable_point
+from ..runtime import Cut, small
 from . import hypotheses, quality
 
 
@@ -89,14 +90,17 @@ def provider_hypotheses(seeds: DataFrame, polygons: DataFrame, buildings: DataFr
     at = lambda c: F.floor(F.col(c) / cell)
     wide = F.ceil(F.lit(500 / hypotheses.FLAT / cell) / F.greatest(F.lit(0.05), F.cos(F.radians(F.abs("y") + 0.01)))).cast("int")
     high = math.ceil(500 / hypotheses.FLAT / cell)
-    near = seeds.select("seed_id", "x", "y", F.explode(F.sequence(at("x") - wide, at("x") + wide)).alias("cx")).select("*", F.explode(F.sequence(at("y") - high, at("y") + high)).alias("cy"))
+    places = seeds.select("x", "y").distinct()
+    near = places.select("x", "y", F.explode(F.sequence(at("x") - wide, at("x") + wide)).alias("cx")).select("*", F.explode(F.sequence(at("y") - high, at("y") + high)).alias("cy"))
 
     def meet(d: DataFrame) -> DataFrame:
+        """Places meet places, then the rows at both: what lies at one place is searched and measured once."""
         own = [c for c in d.columns if c == "poly_id"]
-        d = d.select(*own, F.col("x").alias("px"), F.col("y").alias("py"), "area_m2", at("x").alias("cx"), at("y").alias("cy"))
-        m = near.join(d, ["cx", "cy"])
-        m = (m.where("seed_id <> poly_id") if own else m).withColumn("seed_m", F.hypot((F.col("x") - F.col("px")) * F.cos(F.radians("y")), F.col("y") - F.col("py")) * hypotheses.FLAT)
-        return m.where("seed_m <= 500")
+        d = d.select(*own, F.col("x").alias("px"), F.col("y").alias("py"), "area_m2")
+        m = near.join(d.select("px", "py", at("px").alias("cx"), at("py").alias("cy")).distinct(), ["cx", "cy"])
+        m = m.withColumn("seed_m", F.hypot((F.col("x") - F.col("px")) * F.cos(F.radians("y")), F.col("y") - F.col("py")) * hypotheses.FLAT).where("seed_m <= 500")
+        m = seeds.select("seed_id", "x", "y").join(small(Cut(m.select("x", "y", "px", "py", "seed_m"), "places")), ["x", "y"]).join(d, ["px", "py"])
+        return m.where("seed_id <> poly_id") if own else m
 
     b0 = meet(polygons).select("seed_id", F.lit("EXISTING").alias("provider"), "area_m2", "seed_m", F.lit(1).cast("bigint").alias("count"))
     b2 = meet(buildings).groupBy("seed_id").agg(F.sum("area_m2").alias("area_m2"), F.min("seed_m").alias("seed_m"), F.count(F.lit(1)).alias("count")).where("count >= 3").select("seed_id", F.lit("CLUSTER").alias("provider"), "area_m2", "seed_m", "count")

@@ -172,3 +172,13 @@ def test_nearest_of_many_at_one_place(spark):
     got = hypotheses.nearest(a, b, "k", 0.05).groupBy("other", F.round("dist", 6).alias("dist")).count().collect()
     assert [tuple(r) for r in got] == [(6, 0.01, 19_999)]  # a point without numbers has no nearest one
     assert time.time() - t < 60  # not the 400 million pairs
+
+
+def test_proposals_of_many_at_one_place(spark):
+    t = time.time()
+    f = spark.range(3_000).select(F.col("id").alias("seed_id"), F.lit(116.0).alias("x"), F.when(F.col("id") < 2_999, 39.0).otherwise(39.003).alias("y"), F.lit(100.0).alias("area_m2"))
+    b = spark.createDataFrame([(116.0, 39.0, 1.0), (116.0, 39.0, 2.0), (116.0, 38.998, 4.0)], "x double, y double, area_m2 double")
+    p = pipelines.provider_hypotheses(f.select("seed_id", "x", "y", F.lit(5.0).alias("prior_m2")), f.withColumnRenamed("seed_id", "poly_id"), b)
+    got = {r["provider"]: tuple(r)[1:] for r in p.groupBy("provider").agg(F.count("*"), F.countDistinct("seed_id"), F.max("area_m2"), F.round(F.max("seed_m"))).collect()}
+    assert got == {"EXISTING": (3_000 * 2_999, 3_000, 100.0, 333.0), "CLUSTER": (2_999, 2_999, 7.0, 0.0), "AREA_PRIOR": (3_000, 3_000, 5.0, 0.0)}
+    assert time.time() - t < 60
