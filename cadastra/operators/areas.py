@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pairs_of_shapes import wkt_difference, wkt_pair
+from ..runtime import Cut, spread
 from .hypotheses import FLAT, WEIGHTS, topology
 from .relations import box_pairs
 
@@ -58,14 +59,40 @@ def member_level(confidence: Column) -> Column:
     return out
 
 
+_BOX = ("x0", "y0", "x1", "y1")
+
+
+def shape_forms(shapes: DataFrame, key: str, group: str, wkt: str) -> DataFrame:
+    """`shapes` with `form`: the smallest key among the equal polygons (text and box) of a group."""
+    return Cut(shapes.select(key, group, wkt, *_BOX, F.min(key).over(Window.partitionBy(group, wkt, *_BOX)).alias("form")), "forms").df
+
+
+def form_pairs(forms: DataFrame, key: str, group: str, wkt: str, reach: float, cell: float) -> DataFrame:
+    """(form_a, form_b, wkt_a, wkt_b, overlap_m2, gap_m, shared_m) of the `shape_forms` of one group whose boxes come within `reach` degrees;
+    111 000 m a degree. A form meets itself too, and comes first and second, as far as its members do."""
+    c = F.col
+    one = forms.groupBy("form").agg(F.max(key).alias("hi")).join(forms.where(c(key) == c("form")).drop(key), "form")
+    p = box_pairs(one.select("form", group, (c("x0") - reach / 2).alias("x0"), (c("y0") - reach / 2).alias("y0"), (c("x1") + reach / 2).alias("x1"), (c("y1") + reach / 2).alias("y1")), "form", group, cell)
+    itself = one.where("hi > form").where(c(group).isNotNull() & c("x0").isNotNull() & c("y0").isNotNull() & c("x1").isNotNull() & c("y1").isNotNull())
+    p = p.unionByName(p.select(c("form_b").alias("form_a"), c("form_a").alias("form_b"))).unionByName(itself.select(c("form").alias("form_a"), c("form").alias("form_b")))
+    side = lambda s: one.select(c("form").alias(f"form_{s}"), c(wkt).alias(f"wkt_{s}"), c("hi").alias(f"hi_{s}"))
+    p = spread(p.join(side("a"), "form_a").join(side("b"), "form_b").where("form_a < hi_b")).withColumn("p", wkt_pair("wkt_a", "wkt_b")).where("p.inter IS NOT NULL")
+    return p.select("form_a", "form_b", "wkt_a", "wkt_b", (c("p.inter") * FLAT * FLAT).alias("overlap_m2"), (c("p.dist") * FLAT).alias("gap_m"), F.when(c("p.inter") * FLAT * FLAT < 1e-6, c("p.shared") * FLAT).otherwise(0.0).alias("shared_m"))
+
+
+def of_members(pairs: DataFrame, forms: DataFrame, key: str) -> DataFrame:
+    """`pairs` of forms for each two of their members: key_a and key_b, the smaller first, instead of form_a and form_b."""
+    side = lambda s: spread(forms.select(F.col(key).alias(f"{key}_{s}"), F.col("form").alias(f"form_{s}")), f"form_{s}")
+    j = spread(Cut(pairs, "form-pairs").df, "form_a").join(side("a"), "form_a").drop("form_a")
+    j = spread(j, "form_b").join(side("b"), "form_b").where(F.col(f"{key}_a") < F.col(f"{key}_b"))
+    return j.select(f"{key}_a", f"{key}_b", *[c for c in pairs.columns if c not in ("form_a", "form_b")])
+
+
 def topology_pairs(shapes: DataFrame, key: str, group: str, wkt: str, reach: float, cell: float) -> DataFrame:
-    """(key_a, key_b, overlap_m2, gap_m, shared_m) of the polygons of one group whose boxes (x0, y0, x1, y1) come within `reach`
-    degrees; 111 000 m a degree. Only such pairs are measured, never all."""
-    b = shapes.select(key, group, (F.col("x0") - reach / 2).alias("x0"), (F.col("y0") - reach / 2).alias("y0"), (F.col("x1") + reach / 2).alias("x1"), (F.col("y1") + reach / 2).alias("y1"))
-    p = box_pairs(b, key, group, cell)
-    side = lambda s: shapes.select(F.col(key).alias(f"{key}_{s}"), F.col(wkt).alias(f"wkt_{s}"))
-    p = p.join(side("a"), f"{key}_a").join(side("b"), f"{key}_b").withColumn("p", wkt_pair("wkt_a", "wkt_b")).where("p.inter IS NOT NULL")
-    return p.select(f"{key}_a", f"{key}_b", "wkt_a", "wkt_b", (F.col("p.inter") * FLAT * FLAT).alias("overlap_m2"), (F.col("p.dist") * FLAT).alias("gap_m"), F.when(F.col("p.inter") * FLAT * FLAT < 1e-6, F.col("p.shared") * FLAT).otherwise(0.0).alias("shared_m"))
+    """(key_a, key_b, wkt_a, wkt_b, overlap_m2, gap_m, shared_m) of the polygons of one group whose boxes (x0, y0, x1, y1) come within `reach`
+    degrees; 111 000 m a degree. Only such pairs are measured, never all, and equal polygons once."""
+    forms = shape_forms(shapes, key, group, wkt)
+    return of_members(form_pairs(forms, key, group, wkt, reach, cell), forms, key)
 
 
 def topology_report(pairs: DataFrame, least_m2: float = 100.0, most_gap_m: float = 50.0) -> DataFrame:
@@ -77,7 +104,7 @@ def topology_report(pairs: DataFrame, least_m2: float = 100.0, most_gap_m: float
 
 
 def repairs(pairs: DataFrame, separator: Column) -> DataFrame:
-    """`topology_pairs` with `relation`, `operation` and the repaired `geometry`: an overlap is taken from the first polygon; a
+    """`topology_pairs` or `form_pairs` with `relation`, `operation` and the repaired `geometry`: an overlap is taken from the first polygon; a
     gap (boxes grown by half of it are left to the caller) and a shared boundary join both as one MULTIPOLYGON of pieces
     that don't overlap. Other pairs have neither."""
     c = F.col

@@ -80,3 +80,10 @@ def small(side: Cut, limit: int = BROADCAST_BYTES) -> DataFrame:
     """The cut table, marked for broadcast only when what was written is below `limit` bytes;
     beyond it, the join falls back to a shuffle (AQE splits its skewed partitions)."""
     return F.broadcast(side.df) if side.bytes() * 4 <= limit else side.df
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """`df` over all partitions of a shuffle, for steps whose work is not told by the bytes they read (Python, joins of few rows
+    to many), which would else run in few tasks."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n, *by)
