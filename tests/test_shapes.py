@@ -199,3 +199,11 @@ def test_topology_of_many_equal_shapes(spark):
     each = n * (n - 1) // 2
     assert {k: (v[0], v[2]) for k, v in got.items()} == {full(0.002): (each, 0), full(0.001): (each, 0), full(0.0005): (n * n, 0)} and all(v[1] < 0 for v in got.values())
     assert time.time() - t < 60  # not 4.5 million measurements
+
+
+def test_topology_report_of_many_equal_shapes(spark):
+    t, n = time.time(), 1_500
+    s = areas.topology_report(areas.topology_pairs(boxes_of(spark, n), "id", "city", "wkt", 0.0005, 0.005)).first()
+    m2 = 0.001 * 111_000**2 * (n * (n - 1) // 2 * 0.003 + n * n * 0.0005)
+    assert s["n_overlaps"] == n * (2 * n - 1) and abs(s["total_overlap_m2"] / m2 - 1) < 1e-9 and s["n_gaps"] == s["n_shared"] == 0
+    assert time.time() - t < 60
