@@ -157,8 +157,10 @@ def topology_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_TOPO}, a AS (SELECT id AS id_a, (x1 - x0) * (y1 - y0) * 111000 * 111000 AS area_a FROM boxes), b AS (SELECT id AS id_b, (x1 - x0) * (y1 - y0) * 111000 * 111000 AS area_b FROM boxes) SELECT id_a, id_b, CASE WHEN overlap_m2 > 100 THEN 'REMOVE_OVERLAP' ELSE 'REPAIR_GAP' END AS operation, {q('CASE WHEN overlap_m2 > 100 THEN area_a - overlap_m2 ELSE area_a + area_b END', 0, 'area_m2')} FROM t JOIN a USING (id_a) JOIN b USING (id_b) WHERE {_RELATION} <> 'UNKNOWN'")
 def topology_repairs(spark: SparkSession, d: str) -> DataFrame:
-    p = areas.repairs(_topo(spark, d), F.lit(False)).where("operation IS NOT NULL")
-    return p.select("id_a", "id_b", "operation", r(pairs_of_shapes.wkt_area("geometry") * hypotheses.FLAT**2, 0, "area_m2"))
+    forms = areas.shape_forms(_boxes(spark, d), "id", "city", "wkt")
+    p = areas.repairs(areas.form_pairs(forms, "id", "city", "wkt", 0.0005, 0.005), F.lit(False)).where("operation IS NOT NULL")
+    p = areas.of_members(p.select("form_a", "form_b", "operation", (pairs_of_shapes.wkt_area("geometry") * hypotheses.FLAT**2).alias("area_m2")), forms, "id")
+    return p.select("id_a", "id_b", "operation", r(C("area_m2"), 0, "area_m2"))
 
 
 _WITHIN = "(i >= a * (1 - 1e-9) OR i >= b * (1 - 1e-9))"

@@ -207,3 +207,15 @@ def test_topology_report_of_many_equal_shapes(spark):
     m2 = 0.001 * 111_000**2 * (n * (n - 1) // 2 * 0.003 + n * n * 0.0005)
     assert s["n_overlaps"] == n * (2 * n - 1) and abs(s["total_overlap_m2"] / m2 - 1) < 1e-9 and s["n_gaps"] == s["n_shared"] == 0
     assert time.time() - t < 60
+
+
+def test_repairs_of_many_equal_shapes(spark):
+    t, n = time.time(), 1_500
+    forms = areas.shape_forms(boxes_of(spark, n), "id", "city", "wkt")
+    p = areas.repairs(areas.form_pairs(forms, "id", "city", "wkt", 0.0005, 0.005), F.lit(False))
+    p = areas.of_members(p.select("form_a", "form_b", "operation", (pos.wkt_area("geometry") * 1e6).alias("left")), forms, "id")
+    got = {tuple(r) for r in p.groupBy(F.col("id_a") % 2, F.col("id_b") % 2, "operation", F.round("left", 3)).count().collect()}
+    each, lower = n * (n - 1) // 2, n * (n + 1) // 2  # an even id comes before so many odd ones
+    # what the first one has beside the second
+    assert got == {(0, 0, "REMOVE_OVERLAP", 0.0, each), (1, 1, "REMOVE_OVERLAP", 0.0, each), (0, 1, "REMOVE_OVERLAP", 1.5, lower), (1, 0, "REMOVE_OVERLAP", 0.5, each)}
+    assert time.time() - t < 60
