@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crs, kernel, metres, pairs_of_shapes, rings
 from ..operators import areas, hypotheses, pipelines
+from ..runtime import spread
 from ..sources.tables import table
 from . import views
 from .reference import _ix, _iy, C, q, query, r
@@ -73,8 +74,10 @@ _MX = "(CAST(111412.84 AS DOUBLE) * cos(radians((y0 + y1) / 2)))"
 @query(f"WITH {FENCES_SQL}, s AS (SELECT id, x1 - x0 AS w, y1 - y0 AS h FROM boxes) SELECT id, {q('greatest(w, h) / least(w, h)', 3, 'aspect')}, {q('least(w, h) / 2 * 111000', 1, 'radius_m')}, CAST(1 AS DOUBLE) AS hull_ratio, true AS valid, true AS simplified FROM s")
 def rectangle_kernel(spark: SparkSession, d: str) -> DataFrame:
     """Smallest rectangle, largest circle, hull, validity and simplification of polygons that happen to be rectangles."""
-    b = _boxes(spark, d)
-    return b.select("id", r(kernel.wkt_aspect("wkt"), 3, "aspect"), F.round(F.round(kernel.wkt_inscribed("wkt") * _D, 3), 1).alias("radius_m"), F.round(kernel.wkt_hull_ratio("wkt"), 6).alias("hull_ratio"), kernel.wkt_valid("wkt").alias("valid"), (F.abs(pairs_of_shapes.wkt_area(kernel.wkt_simplified("wkt")) - pairs_of_shapes.wkt_area("wkt")) < 1e-9).alias("simplified"))
+    b = _boxes(spark, d).select("id", "wkt")
+    w = spread(b.select("wkt").distinct())  # equal texts have equal measures
+    m = w.select("wkt", r(kernel.wkt_aspect("wkt"), 3, "aspect"), F.round(F.round(kernel.wkt_inscribed("wkt") * _D, 3), 1).alias("radius_m"), F.round(kernel.wkt_hull_ratio("wkt"), 6).alias("hull_ratio"), kernel.wkt_valid("wkt").alias("valid"), (F.abs(pairs_of_shapes.wkt_area(kernel.wkt_simplified("wkt")) - pairs_of_shapes.wkt_area("wkt")) < 1e-9).alias("simplified"))
+    return b.join(m, "wkt").drop("wkt")
 
 
 BOX_PAIRS_SQL = f"""SELECT a.id AS id, a.x0 AS ax0, a.y0 AS ay0, a.x1 AS ax1, a.y1 AS ay1, a.x0 + CAST(a.id % 5 AS DOUBLE) / 10000 - CAST(0.0002 AS DOUBLE) AS bx0, a.y0 + CAST(a.id % 3 AS DOUBLE) / 10000 AS by0, a.x1 + CAST(a.id % 5 AS DOUBLE) / 10000 - CAST(0.0002 AS DOUBLE) AS bx1, a.y1 + CAST(a.id % 3 + a.id % 7 AS DOUBLE) / 10000 AS by1 FROM (WITH {FENCES_SQL} SELECT * FROM boxes) a"""

@@ -219,3 +219,23 @@ def test_repairs_of_many_equal_shapes(spark):
     # what the first one has beside the second
     assert got == {(0, 0, "REMOVE_OVERLAP", 0.0, each), (1, 1, "REMOVE_OVERLAP", 0.0, each), (0, 1, "REMOVE_OVERLAP", 1.5, lower), (1, 0, "REMOVE_OVERLAP", 0.5, each)}
     assert time.time() - t < 60
+
+
+def test_many_rings_like_one_by_one():
+    rng = random.Random(3)
+    rings = [star(rng, 5, 5, n, 0.5 + rng.random()) for n in (3, 4, 5, 8, 12) for _ in range(40)]
+    rings += [np.array([[0, 0], [2, 2], [2, 0], [0, 2], [0, 0.0]]), np.array([[0, 0], [1, 1], [2, 2], [0, 0.0]]), np.ones((5, 2)), np.array([[0, 0], [3, 0], [3, 1], [0, 1], [0, 0.0]]), star(rng, n=200), None]
+    each = lambda f: kernel.in_groups(rings, f, None)
+    got = list(zip(rings, each(kernel.are_valid), each(kernel.hull_ratios), each(lambda q: list(zip(*kernel.min_rectangles(q), strict=True))), each(kernel.inscribed_radii), strict=True))
+    assert got[-1] == (None,) * 5
+    for q, valid, hull, sides, radius in got[:-1]:
+        assert valid == kernel.is_valid(q) and abs(radius - kernel.inscribed_radius(q)) <= 0.0051 * max(np.ptp(q, axis=0))
+        assert np.allclose(np.prod(sides), np.prod(kernel.min_rectangle(q))) and np.isclose(hull, abs(kernel.area(q)) / max(abs(kernel.area(kernel.convex_hull(q))), 1e-300))
+
+
+def test_measures_of_many_boxes(spark):
+    t = time.time()
+    d = spark.range(40_000).select(F.expr("concat('POLYGON ((0 0, ', id + 2, ' 0, ', id + 2, ' 2, 0 2, 0 0))')").alias("w"), "id").repartition(4)
+    r = d.select("id", kernel.wkt_aspect("w").alias("a"), kernel.wkt_inscribed("w").alias("r"), kernel.wkt_valid("w").alias("v")).agg(F.max(F.abs(F.col("a") - (F.col("id") + 2) / 2)), F.min("r"), F.max("r"), F.count_if("v")).first()
+    assert r[0] < 1e-9 and r[1] == 1.0 and r[2] == 1.0 and r[3] == 40_000
+    assert time.time() - t < 60
