@@ -239,3 +239,13 @@ def test_measures_of_many_boxes(spark):
     r = d.select("id", kernel.wkt_aspect("w").alias("a"), kernel.wkt_inscribed("w").alias("r"), kernel.wkt_valid("w").alias("v")).agg(F.max(F.abs(F.col("a") - (F.col("id") + 2) / 2)), F.min("r"), F.max("r"), F.count_if("v")).first()
     assert r[0] < 1e-9 and r[1] == 1.0 and r[2] == 1.0 and r[3] == 40_000
     assert time.time() - t < 60
+
+
+def test_profiles_of_many_records(spark):
+    t = time.time()
+    rng = random.Random(5)
+    shapes = [kernel.to_wkt(star(rng, 116, 39, 8, 0.002)) for _ in range(500)]
+    d = spark.createDataFrame([(w,) for w in shapes], "w string").crossJoin(spark.range(120)).repartition(4)
+    p = d.select(kernel.wkt_profile("w").alias("p")).agg(F.count_if("p.valid"), F.count_if(F.expr("p.width_m > 0 and p.length_m > p.width_m and p.aspect >= 1"))).first()
+    assert p[0] > 50_000 and p[1] == 60_000
+    assert time.time() - t < 30  # 60,000 profiles
