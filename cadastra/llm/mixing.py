@@ -2,13 +2,14 @@
 
 Soft membership: a text has a posterior over the sources, certain where its source is given, from a classifier
 trained on texts with a source where it isn't. A text's rate is its posterior times a price per source, held
-between 0 and its repeat limit; projected gradient steps on the prices, each one aggregation over all texts for
-all plans at once, bring the expected tokens of every source to its target in the least-squares sense.
+between 0 and its repeat limit. Projected gradient steps on the prices bring the expected tokens of every source to its
+target in the least-squares sense (squares relative to the tokens of the source). A step is two aggregations over all texts
+for all plans at once, the tokens and the gradient; with certain sources only, the gradient is what each source lacks, and one is enough.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +91,7 @@ def mix(docs: DataFrame, plans: DataFrame, vocabulary: str | None = None) -> Dat
     ids = sorted({r["mix_id"] or "" for r in got})
     texts = Cut(unique_texts(docs, vocabulary), "texts").df
     soft = Cut(posteriors(texts, docs, names), "posteriors").df
-    base = soft.agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("all"), *[F.sum(F.col("n_tokens") * F.col("pi")[i]).alias(f"t{i}") for i in range(len(names))], *[F.sum((F.col("pi")[i] > 0.5).cast("long")).alias(f"n{i}") for i in range(len(names))]).first()
+    base = soft.agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("all"), *[F.sum(F.col("n_tokens") * F.col("pi")[i]).alias(f"t{i}") for i in range(len(names))], *[F.sum((F.col("pi")[i] > 0.5).cast("long")).alias(f"n{i}") for i in range(len(names))], F.max(F.exists("pi", lambda v: (v > 0) & (v < 1))).alias("unsure")).first()
     total = base["all"] or 0
     have = np.array([base[f"t{i}"] or 0.0 for i in range(len(names))])
     target, cap = np.zeros((len(ids), len(names))), np.ones((len(ids), len(names)))
@@ -99,16 +100,24 @@ def mix(docs: DataFrame, plans: DataFrame, vocabulary: str | None = None) -> Dat
         target[m, i] = (r["target_share"] or 0.0) * (1.0 if r["total_ratio"] is None else r["total_ratio"]) * total
         cap[m, i] = 1 if r["max_repeats"] is None else max(0, r["max_repeats"])
 
+    def free(m: int, price: np.ndarray) -> Column:
+        return _dot(F.col("pi"), price[m]).between(0, F.floor(_dot(F.col("pi"), cap[m]) + 1e-9) + 1e-9)
+
     def rate(m: int, price: np.ndarray) -> Column:
         # the limit of a text without a source is the mean of its possible sources' limits
         return F.greatest(F.lit(0.0), F.least(_dot(F.col("pi"), price[m]), F.floor(_dot(F.col("pi"), cap[m]) + 1e-9)))
 
+    def summed(per_text: Callable[[int], Column], at: np.ndarray) -> np.ndarray:
+        """The sums over all texts, by plan and source, of what a text has at the prices, by its posterior."""
+        sums = [F.sum(per_text(m) * F.col("n_tokens") * F.col("pi")[i]).alias(f"s{m}_{i}") for m in range(len(ids)) for i in range(len(names))]
+        return np.array([v or 0.0 for v in soft.agg(*sums).first()]).reshape(at.shape)
+
     price = np.divide(target, have, out=np.zeros_like(target), where=have > 0)
     for _ in range(STEPS):
-        sums = [F.sum(rate(m, price) * F.col("n_tokens") * F.col("pi")[i]) for m in range(len(ids)) for i in range(len(names))]
-        now = np.array([v or 0.0 for v in soft.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()]).reshape(target.shape)
-        gap = target - now
-        step = np.clip(price + np.divide(gap, have, out=np.zeros_like(gap), where=have > 0), 0, cap)
+        gap = np.divide(target - summed(lambda m: rate(m, price), price), have, out=np.zeros_like(price), where=have > 0)
+        # the gradient: a text whose rate isn't held at a bound moves by its posteriors towards what all its sources lack
+        slope = -summed(lambda m: F.when(free(m, price), _dot(F.col("pi"), gap[m])).otherwise(0.0), price) if base["unsure"] else -gap * have
+        step = np.clip(price - np.divide(slope, have, out=np.zeros_like(slope), where=have > 0), 0, cap)
         if np.abs(step - price).max() <= CLOSE:
             break
         price = step

@@ -301,6 +301,16 @@ def test_mix(spark, vocabulary):
     assert abs(sum(r["actual_share"] for k, r in got.items() if k[0] == "p") - 1) < 1e-4
 
 
+def test_mix_least_squares(spark, vocabulary, monkeypatch):
+    """Texts that are half of each source can't give one of them its target without the other getting as much: half of it is nearest to both targets."""
+    monkeypatch.setattr(mixing, "posteriors", lambda texts, docs, names: texts.select("src", "key", "n_tokens", "copies", F.array(F.lit(0.5), F.lit(0.5)).alias("pi")))
+    docs = spark.createDataFrame([(i, f"text number {i}", None) for i in range(400)], "doc_id bigint, text string, source string")
+    plans = spark.createDataFrame([("p", "a", 1.0, 9, 1.0), ("p", "b", 0.0, 9, 1.0), ("q", "a", 0.5, 9, 1.0), ("q", "b", 0.5, 9, 1.0)], "mix_id string, source string, target_share double, max_repeats int, total_ratio double")
+    got = {(r["mix_id"], r["source"]): r["used_tokens"] / (r["source_tokens"] * 2) for r in mixing.mix(docs, plans, vocabulary).collect()}
+    assert abs(got["p", "a"] - 0.5) < 0.05 and abs(got["p", "b"] - 0.5) < 0.05
+    assert abs(got["q", "a"] - 0.5) < 0.05
+
+
 def subject_texts(n, seed):
     rng = random.Random(seed)
     words = {"law": "court appeal title permit zoning plot".split(), "sport": "match goal league coach referee final".split(), "health": "clinic dose nurse fever scan patient".split()}
