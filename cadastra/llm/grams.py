@@ -137,3 +137,58 @@ def cells_around(x: Column, y: Column, side: float, reach: Column | None = None,
     span = lambda v, r: F.sequence(F.floor((v - r) / side), F.floor((v + r) / side))
     wide = reach / F.greatest(F.lit(0.2), F.cos(F.radians(y)))
     return F.flatten(F.transform(span(x, wide), lambda i: F.transform(span(y, reach), lambda j: F.xxhash64(F.lit("l"), i, j, *with_))))
+
+
+#: Order of the terms of an address among all terms, rare ones first, as inverse document frequencies (fixed, like their weights).
+_RARITY = {"g": 99.0, "0": 98.0, "w": 6.0, "1": 4.0, "o": 3.5}
+
+
+def _ranked(terms: list[tuple[int, float]], marks: list[str]) -> dict[int, float]:
+    return {t: _RARITY[m] for (t, _), m in zip(terms, marks, strict=True)}
+
+
+def prefix_terms(form: tuple, table: np.ndarray, beside: float | None, least: float) -> list[int]:
+    """The first terms, rare ones first, of the joint vector of a name and (unless `beside` is null) an address, whose share in the squared
+    length is `beside` where both are there: so many that what follows is shorter than `least`. Two vectors of length 1 whose cosine
+    is `least` or more share one of these terms: all terms that they share would else lie in the shorter rest of one of them."""
+    t, w = unit(name_terms(*form[: len(NAME)]), table)
+    order = table[t]
+    if beside is not None and len(t):
+        city, office, road, door, x, y = form[len(NAME) :]
+        at = address_terms(city, office, road, door, x, y)
+        if at:
+            marks = (["w", *(["g"] if door else [])] if road else []) + (["o"] if office else []) + (["0", "0", "1", "1"] if x is not None and y is not None else [])
+            rank = _ranked(at, marks)
+            ta, wa = unit(at, None)
+            t = np.concatenate((t, ta + BUCKETS))
+            w = np.concatenate((w * (1 - beside) ** 0.5, wa * beside**0.5))
+            order = np.concatenate((order, [rank[int(k)] for k in ta]))
+    o = np.lexsort((t, -order))
+    rest = np.concatenate((np.cumsum((w[o] ** 2)[::-1])[::-1][1:], [0.0]))  # what follows each term
+    n = int((rest >= least * least - 1e-12).sum()) + 1
+    return t[o][:n].tolist()
+
+
+def with_prefixes(rows: DataFrame, idf: np.ndarray, keep: Iterable[str], beside: float | None, least: float) -> DataFrame:
+    """The columns `keep` of `rows` with `terms`, their `prefix_terms`."""
+    keep = list(keep)
+    forms = [*NAME, *(ADDRESS if beside is not None else ())]
+    weights = rows.sparkSession.sparkContext.broadcast(idf)  # BUCKETS numbers
+    n = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = weights.value
+        known: dict[tuple, list[int]] = {}
+        for b in batches:
+            out = []
+            for f in zip(*(b.column(i).to_pylist() for i in range(n, n + len(forms))), strict=True):
+                got = known.get(f)
+                if got is None:
+                    if len(known) >= 50_000:
+                        known.clear()
+                    got = known[f] = prefix_terms(f, table, beside, least)
+                out.append(got)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(out, pa.list_(pa.int64()))], names=[*keep, "terms"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
+    return rows.select(*keep, *[F.col(c).alias(f"_{c}") for c in forms]).mapInArrow(run, f"{schema}, terms array<bigint>")

@@ -1,20 +1,21 @@
 """Variant spellings of names typed by people (problem 4).
 
 Names and the addresses written beside them are vectors of weighted n-grams. Records listed in no entity meet entities,
-and each other, in a sparse join on rare n-grams: all syllables of the name, road and door, or a location cell together
-with half the syllables. A pair that shares none of these cannot reach the threshold: its names differ and its addresses
-have at most road, office and a wide cell in common. Candidates get their cosines, and average-linkage clustering joins the
+and each other, in a sparse join: on the first terms of their joint vectors, rare ones first, so many that a pair which
+shares none of them stays below the threshold; and on all syllables of the name, road and door, or a location cell together
+with half the syllables, whose pairs count for averages below it too. Candidates get their cosines, and average-linkage clustering joins the
 records to the groups of names: the least average cosine at which two groups are one is THRESHOLD.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import norm_id
 from ..runtime import Cut, small
-from .grams import ADDRESS, NAME, cells_around, idf_of, with_cosines
+from .grams import ADDRESS, NAME, cells_around, idf_of, with_cosines, with_prefixes
 from .pairs import group_join
 from .places import fill_districts, one_per_record, parsed
 from .survivors import latest_entities
@@ -65,9 +66,8 @@ def fits(a: str = "_a", b: str = "_b") -> Column:
     """Whether two mentions can name one place at all: same kind and parts, no other ending, no other district. Phases,
     sub-areas and courtyards are places of their own."""
     l, r = (lambda k: F.col(k + a)), (lambda k: F.col(k + b))  # noqa: E741
-    ends = (l("ends") == "") | (r("ends") == "") | F.arrays_overlap(F.split(l("ends"), r"\|"), F.split(r("ends"), r"\|"))
     district = (l("district") == "") | (r("district") == "") | (l("district") == r("district"))
-    return (l("kind") == r("kind")) & (l("parts") == r("parts")) & ends & district & (l("city") == r("city"))
+    return (l("kind") == r("kind")) & (l("parts") == r("parts")) & _overlap("ends" + a, "ends" + b) & district & (l("city") == r("city"))
 
 
 def similarity(name: Column, address: Column) -> Column:
@@ -125,12 +125,23 @@ def _asks(free: DataFrame, known: DataFrame) -> DataFrame:
     return free.join(districts, "city", "left").withColumn("district", F.explode(F.when((F.col("district") == "") & F.col("ds").isNotNull(), F.col("ds")).otherwise(F.array("district")))).drop("ds")
 
 
-def candidates(asks: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Pairs (rid, key) of records (`asks`) that share a rare n-gram with the rows of `known` that `key` names."""
+def _overlap(a: str, b: str) -> Column:
+    """Whether two columns of endings don't contradict each other."""
+    l, r = F.col(a), F.col(b)  # noqa: E741
+    return (l == "") | (r == "") | F.arrays_overlap(F.split(l, r"\|"), F.split(r, r"\|"))
+
+
+def candidates(asks: DataFrame, known: DataFrame, key: str, idf: np.ndarray) -> DataFrame:
+    """Pairs (rid, key) of records (`asks`) that can reach the threshold with one of the rows of `known` that `key` names, and those that share
+    a rare n-gram with one. Mentions whose cosine is THRESHOLD or more share a term of the beginnings of their vectors."""
     side = lambda d, k, probe, s: d.select(k, F.col("mask").alias(f"mask{s}"), F.explode(rare_terms(probe)).alias("k")).where("k is not null").distinct()
     shared = 2 * F.bit_count(F.col("mask_a").bitwiseAND(F.col("mask_b"))) >= F.least(F.bit_count("mask_a"), F.bit_count("mask_b"))
     alike = (F.col("k").bitwiseAND(F.lit(1)) == 1) | shared
-    return group_join(side(known, key, False, "_b"), side(asks, "rid", True, "_a"), ["k"], key).where(alike).select("rid", key).distinct()
+    rare = group_join(side(known, key, False, "_b"), side(asks, "rid", True, "_a"), ["k"], key).where(alike).select("rid", key)
+    within = ["city", "district", "kind", "parts"]
+    begin = lambda d, k, s: with_prefixes(d, idf, [k, "ends", *within], BESIDE, THRESHOLD).select(k, F.col("ends").alias(f"ends{s}"), *within, F.explode("terms").alias("t")).select(k, f"ends{s}", F.xxhash64(*within, "t").alias("k")).distinct()
+    near = group_join(Cut(begin(known, key, "_b"), "index").df, begin(asks, "rid", "_a"), ["k"], key).where(_overlap("ends_a", "ends_b")).select("rid", key)
+    return rare.unionByName(near).distinct()
 
 
 def link_variants(records: DataFrame, entities: DataFrame) -> DataFrame:
@@ -160,7 +171,7 @@ def link_variants(records: DataFrame, entities: DataFrame) -> DataFrame:
         return s.where("ok * 2 > m").select("rid", "eid", F.concat(F.lit("="), "eid").alias("b"), (similarity(F.col("name"), F.col("addr")) * F.col("m")).alias("sum"), F.lit(1).alias("n"), "m")
 
     asks = _asks(free, known)
-    first = Cut(scored(candidates(asks, known, "eid")).where(F.col("sum") >= F.col("m") * THRESHOLD / 2), "scored").df
+    first = Cut(scored(candidates(asks, _asks(known, known), "eid", idf)).where(F.col("sum") >= F.col("m") * THRESHOLD / 2), "scored").df
     avg = F.col("sum") / F.col("m")
     best = first.groupBy("rid").agg(F.max(F.struct(avg.alias("avg"), "b")).alias("z"), F.sort_array(F.collect_list(avg), False).alias("all"))  # as many as a record has candidates
     sure = best.where((F.col("z.avg") >= SURE) & (F.coalesce(F.get("all", F.lit(1)), F.lit(0.0)) < F.col("z.avg") - TIE)).select("rid", F.col("z.b").alias("root"))
@@ -168,7 +179,7 @@ def link_variants(records: DataFrame, entities: DataFrame) -> DataFrame:
     # the others meet all records; one that has joined an entity counts for it
     rest = asks.join(sure, "rid", "left_anti")
     own = asks.withColumnRenamed("rid", "rid2")
-    each = candidates(rest, own, "rid2").where("rid <> rid2")
+    each = candidates(rest, own, "rid2", idf).where("rid <> rid2")
     facing = each.join(side(free, "_a", "rid"), "rid").join(side(free.withColumnRenamed("rid", "rid2"), "_b", "rid2"), "rid2").where(fits())
     between = with_cosines(facing, idf, ["rid", "rid2"]).select("rid", "rid2", similarity(F.col("name_cos"), F.col("addr_cos")).alias("sum")).where(F.col("sum") >= THRESHOLD / 2)
     between = between.join(sure.select(F.col("rid").alias("rid2"), "root"), "rid2", "left").select(F.col("rid").alias("a"), F.coalesce("root", "rid2").alias("b"), "sum", F.lit(0).alias("m"))

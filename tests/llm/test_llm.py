@@ -227,6 +227,35 @@ def test_transitivity_changes_rows(spark):
     assert free.get(("p", "r"), 0.0) <= held.get(("p", "r"), 0.0) and set(free) != set(held)
 
 
+def test_misspelt_name_alone(spark):
+    """A misspelt name without address and location reaches the threshold, so it is a candidate and linked."""
+    rows = [record(1, "碧映朗庭大厦", None), record(2, "碧映郎廷大夏", None), record(3, "碧映朗岚大厦", None)]
+    ents = [("COMM_1", "碧映朗庭大厦", "东皋省", "云栈市", "东桥县", "阳沟街道", None, None), ("COMM_2", "枫和碧公寓", "东皋省", "云栈市", "东桥县", "信里街道", None, None), *[(f"COMM_{k}", n, "东皋省", "云栈市", "东桥县", "信里街道", None, None) for k, n in enumerate("溪湖苑 曦和府 铂润园 棠瑞里".split(), 3)]]
+    got = {tuple(r) for r in variants.link_variants(spark.createDataFrame(rows, REC), spark.createDataFrame(ents, ENT)).collect()}
+    assert ("COMM_1", "SRC_003") in got
+
+
+def test_prefixes_lose_no_pair():
+    """Of random mentions, every pair at the threshold shares a term of the beginnings of both."""
+    from cadastra.llm import grams
+
+    rng = random.Random(8)
+    table = np.random.default_rng(8).uniform(0.5, 9, grams.BUCKETS)
+    sounds = "han yi tang wang wu lan mei hua".split()
+    mentions = []
+    for _ in range(250):
+        y = rng.sample(sounds, rng.randint(2, 3))
+        name = ("".join(chr(0x4E00 + sounds.index(k)) for k in y), " ".join(y), rng.choice(["", "E", "F"]))
+        at = rng.choice([("c", "", "", "", None, None), ("c", rng.choice("op"), rng.choice(["r", "s", ""]), rng.choice(["", "7"]), *rng.choice([(None, None), (116 + rng.random() / 300, 39.0)]))])
+        mentions.append((*name, *at))
+    begin = [set(grams.prefix_terms(m, table, variants.BESIDE, variants.THRESHOLD)) for m in mentions]
+    l, r = zip(*[(i, k) for i in range(250) for k in range(i)], strict=True)  # noqa: E741
+    cos = [grams.cosines([mentions[i][lo:hi] for i in l], [mentions[i][lo:hi] for i in r], lambda *f: grams.unit(terms(*f), idf)) for lo, hi, terms, idf in ((0, 3, grams.name_terms, table), (3, 9, grams.address_terms, None))]
+    sims = np.where(np.isnan(cos[1]), (1 - variants.BESIDE) ** 0.5 * cos[0], (1 - variants.BESIDE) * cos[0] + variants.BESIDE * cos[1])
+    hit = sims >= variants.THRESHOLD
+    assert hit.sum() > 500 and all(begin[i] & begin[k] for i, k, h in zip(l, r, hit, strict=True) if h)
+
+
 def test_average_linkage(spark):
     """Fixed groups stay apart, equally near ones are joined by nothing, pairs join each other."""
     edge = lambda a, b, s, m=1: (a, b, s, 1, m)
