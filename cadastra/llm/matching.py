@@ -1,7 +1,7 @@
 """Matching entities across sources without keys (problem 6).
 
-Candidate pairs share a key: the syllables of the name within a district, road and door, or a cell around the location
-together with half the syllables (or a blank name). Each pair has a vector of continuous similarities; what one of the two does
+Candidate pairs share a key: a term of the beginnings of the names' n-gram vectors within a district (all names of a cosine of NAME_ALONE
+do), all syllables, road and door or a cell around the location together with a syllable (or a blank name). Each pair has a vector of continuous similarities; what one of the two does
 not tell is missing from it. A regularised mixture of two Gaussians is fitted without labels by expectation-maximisation. Every
 E-step is held to transitivity: a pair is at least as likely a match as the chain of two matches over a third record, and a
 record without a name cannot match two places whose names differ: only the likelier one keeps its posterior. The posterior
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import norm_id
 from ..runtime import Cut, small
-from .grams import NAME, cells_around, idf_of, with_cosines
+from .grams import NAME, cells_around, idf_of, with_cosines, with_prefixes
 from .pairs import group_join
 from .places import fill_districts, metres_apart, one_per_record, parsed
 from .survivors import latest_entities
@@ -37,6 +37,9 @@ FAR = 0.02
 MATCH, STRONG = 0.5, 0.9
 #: Side of the cells in which locations meet and how far a record reaches, in degrees; distance at which nearness is 1/e, in metres.
 CELL, REACH, NEAR_M = 0.0006, 0.0004, 150.0
+#: Cosine from which on names are compared whatever else the records tell; below it, a pair that shares neither door nor location cell is
+#: not compared.
+NAME_ALONE = 0.4
 #: A point held by records of so many names is a default or coarse one and proposes no pair.
 SHARED_NAMES = 3
 
@@ -114,11 +117,29 @@ def keys(probe: bool) -> Column:
     return F.concat(F.array(name, door), cells("lx", "ly"), cells("bx", "by"))
 
 
+def _in_districts(rows: DataFrame) -> DataFrame:
+    """`rows` with a row for each district of its city where a record's district is unknown: it meets the names of each."""
+    districts = small(Cut(rows.where("district <> ''").groupBy("city").agg(F.collect_set("district").alias("ds")), "city-districts"))
+    return rows.join(districts, "city", "left").withColumn("district", F.explode(F.when((F.col("district") == "") & F.col("ds").isNotNull(), F.col("ds")).otherwise(F.array("district"))))
+
+
+def name_candidates(rows: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(n_a, n_b) as in `candidates`: the pairs of one district whose names have a cosine of NAME_ALONE or more, and some others, whatever
+    their locations and doors; such names share a term of the beginnings of their vectors."""
+    c = F.col
+    within = ["city", "district", "parts"]
+    d = with_prefixes(_in_districts(rows.where("kind <> ''")).withColumn("sh", F.hash("sys")), idf, ["n", "sh", "listed", *within], None, NAME_ALONE)
+    d = Cut(d.select("n", "sh", "listed", *within, F.explode("terms").alias("t")).select("n", "sh", "listed", F.xxhash64(*within, "t").alias("k")), "beginnings").df
+    index, probe = d.select("k", *[c(v).alias(f"{v}_b") for v in ("n", "sh", "listed")]), d.where("not listed").select("k", c("n").alias("n_a"), c("sh").alias("sh_a"))
+    once = (c("sh_a") != c("sh_b")) & (c("listed_b") | (c("n_a") < c("n_b")))
+    return group_join(index, probe, ["k"], "n_b").where(once).select("n_a", "n_b").distinct()
+
+
 def candidates(rows: DataFrame) -> DataFrame:
     """(n_a, n_b): candidate pairs of records of different systems, the first of them listed in no entity. `rows` is a cut
     table with one row and number n per record. Names with other phases, sub-areas or courtyards are other places and
     don't meet; a location or door brings names together that share
-    half the syllables of the shorter one, or a blank one with any. Pairs come once.
+    a syllable, or a blank one with any. Pairs come once.
     """
     named = rows.where("x is not null and kind <> ''")
     crowded = named.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min(F.hash("bag")).alias("lo"), F.max(F.hash("bag")).alias("hi")).where((F.col("n") >= SHARED_NAMES) & (F.col("lo") < F.col("hi")))
@@ -126,9 +147,8 @@ def candidates(rows: DataFrame) -> DataFrame:
     shared = named.join(small(Cut(crowded.select("x", "y"), "crowded-points")), ["x", "y"], "left_semi").groupBy("x", "y").agg(F.countDistinct("bag").alias("names")).where(F.col("names") >= SHARED_NAMES)
     d = rows.join(small(Cut(shared.select("x", "y", F.lit(True).alias("shared")), "shared-points")), ["x", "y"], "left")
     d = d.withColumns({f"l{v}": F.when(F.col("shared").isNull(), F.col(v)) for v in "xy"})
-    districts = small(Cut(rows.where("district <> ''").groupBy("city").agg(F.collect_set("district").alias("ds")), "city-districts"))
-    # a record of unknown district meets the names of each in its city; syllables are bits of a mask, a blank name has all
-    d = d.join(districts, "city", "left").withColumn("district", F.explode(F.when((F.col("district") == "") & F.col("ds").isNotNull(), F.col("ds")).otherwise(F.array("district"))))
+    d = _in_districts(d)
+    # syllables are bits of a mask, a blank name has all
     d = d.withColumns({"ph": F.when(F.col("kind") != "", F.hash("parts")), "sh": F.hash("sys")})
     side = lambda p, e: e.select("n", "sh", "listed", "mask", "ph", F.explode(keys(p)).alias("k")).where("k is not null").distinct()
     index = side(False, d).select("k", *[F.col(c).alias(f"{c}_b") for c in ("n", "sh", "listed", "mask", "ph")])
@@ -136,7 +156,7 @@ def candidates(rows: DataFrame) -> DataFrame:
     c = F.col
     once = (c("sh_a") != c("sh_b")) & (c("listed_b") | (c("n_a") < c("n_b")))
     same_parts = c("ph_a").isNull() | c("ph_b").isNull() | (c("ph_a") == c("ph_b"))
-    alike = 2 * F.bit_count(c("mask_a").bitwiseAND(c("mask_b"))) >= F.least(F.bit_count("mask_a"), F.bit_count("mask_b"))
+    alike = c("mask_a").bitwiseAND(c("mask_b")) != 0
     met = group_join(index, probe, ["k"], "n_b").where(once & same_parts & ((c("k").bitwiseAND(F.lit(1)) == 1) | alike))
     return met.select("n_a", "n_b").distinct()
 
@@ -154,12 +174,13 @@ def match_records(records: DataFrame, entities: DataFrame) -> DataFrame:
     cols = [*NAME, "place", "city", "district", "office", "road", "door", "x", "y", "bx", "by"]
     rows = rows.withColumn("place", F.when(F.col("kind") == "", 0).otherwise(F.hash("parts", "bag")))  # the name as one number, 0 for a blank one
     side = lambda s, d: d.select("rid", "n", *cols).select(*[F.col(c).alias(f"{c}{s}") for c in ("rid", "n", *cols)])
-    facing = candidates(rows).join(side("_a", rows.where("not listed")), "n_a").join(side("_b", rows), "n_b")
+    idf = idf_of(rows.where("kind <> ''"))
+    met = candidates(rows).unionByName(name_candidates(rows, idf)).distinct()
+    facing = met.join(side("_a", rows.where("not listed")), "n_a").join(side("_b", rows), "n_b")
     one_district = (F.col("district_a") == "") | (F.col("district_b") == "") | (F.col("district_a") == F.col("district_b"))
     facing = facing.where(one_district & (F.col("city_a") == F.col("city_b")))
     # similarities are rounded to the steps of DIMS; -1 stands for a missing one
     sims = {k: F.coalesce(F.round(v * DIMS[k]), F.lit(-1)).cast("byte").alias(k) for k, v in similarity(F.lit(None).cast("double")).items() if k != "name"}
-    idf = idf_of(rows.where("kind <> ''"))
     some = facing.select("rid_a", "rid_b", "place_a", "place_b", *sims.values(), *[f"{c}{s}" for s in ("_a", "_b") for c in NAME])
     keep = ["rid_a", "rid_b", "place_a", "place_b", *sims]
     named = with_cosines(some, idf, keep, address=False)

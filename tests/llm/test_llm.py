@@ -201,6 +201,17 @@ def test_candidates_by_location_and_city(spark):
     assert got == [(1, 2), (4, 5), (7, 8), (9, 10), (14, 18)]
 
 
+def test_candidates_by_name_alone(spark):
+    """Misspelt names without door and location meet within the district, listed ones only from the other side."""
+    from cadastra.llm.grams import BUCKETS
+
+    row = lambda n, sysname, core, sound, listed=False, parts="", district="d": (n, sysname, listed, "E", core, sound, "E", "c", district, parts)
+    rows = [row(1, "s1", "汉益堂", "han yi tang"), row(2, "s2", "汉益糖", "han yi tang"), row(3, "s2", "汉亿旺", "han yi wang", True), row(4, "s2", "梅花", "mei hua"), row(5, "s2", "汉益堂", "han yi tang", parts="p2"), row(6, "s3", "汉益庭", "han yi ting", district="")]
+    table = matching.Cut(spark.createDataFrame(rows, "n bigint, sys string, listed boolean, kind string, core string, sound string, ends string, city string, district string, parts string"), "test").df
+    got = {(r["n_a"], r["n_b"]) for r in matching.name_candidates(table, np.ones(BUCKETS)).collect()}
+    assert {(1, 2), (1, 3), (1, 6), (2, 6), (6, 3)} <= got and not any(5 in p or p in ((3, 1), (2, 3)) for p in got)
+
+
 def test_mixture_separates():
     rng = np.random.default_rng(1)
     x = np.vstack((rng.choice([0.8, 1.0], (40, 5)), rng.choice([0.0, 0.3], (60, 5))))
