@@ -139,8 +139,10 @@ def candidates(asks: DataFrame, known: DataFrame, key: str, idf: np.ndarray) ->
     alike = (F.col("k").bitwiseAND(F.lit(1)) == 1) | shared
     rare = group_join(side(known, key, False, "_b"), side(asks, "rid", True, "_a"), ["k"], key).where(alike).select("rid", key)
     within = ["city", "district", "kind", "parts"]
-    begin = lambda d, k, s: with_prefixes(d, idf, [k, "ends", *within], BESIDE, THRESHOLD).select(k, F.col("ends").alias(f"ends{s}"), *within, F.explode("terms").alias("t")).select(k, f"ends{s}", F.xxhash64(*within, "t").alias("k")).distinct()
-    near = group_join(Cut(begin(known, key, "_b"), "index").df, begin(asks, "rid", "_a"), ["k"], key).where(_overlap("ends_a", "ends_b")).select("rid", key)
+    # endings as bits: those that don't contradict share one, a blank has all
+    bits = F.when(F.col("ends") == "", F.lit(-1).cast("bigint")).otherwise(F.aggregate(F.split("ends", r"\|"), F.lit(0).cast("bigint"), lambda m, e: m.bitwiseOR(F.pow(F.lit(2.0), F.crc32(e.cast("binary")) % 62).cast("bigint"))))
+    begin = lambda d, k, s: with_prefixes(d, idf, [k, "ends", *within], BESIDE, THRESHOLD).select(k, bits.alias(f"ends{s}"), F.explode("terms").alias("t"), *within).select(k, f"ends{s}", F.xxhash64(*within, "t").alias("k"))
+    near = group_join(Cut(begin(known, key, "_b"), "index").df, begin(asks, "rid", "_a"), ["k"], key).where(F.col("ends_a").bitwiseAND(F.col("ends_b")) != 0).select("rid", key)
     return rare.unionByName(near).distinct()
 
 
