@@ -25,7 +25,9 @@ def assessed_records(records: DataFrame) -> DataFrame:
     """
     m = rings.measures(rings.ring_of(F.col("geometry_raw_wkt")))
     whole = lambda m: F.struct(m.alias("m"), crs.gcj02_to_wgs84(m["cx"], m["cy"]).alias("w"), rings.metric(m).alias("shape"))
-    r = records.withColumn("g", let(m, whole)).withColumn("_p", kernel.wkt_profile("geometry_raw_wkt")).withColumn("valid", F.coalesce("_p.valid", F.lit(False)))
+    mean = lambda g: 2 * g["area_m2"] / F.when(g["perimeter_m"] > 0, g["perimeter_m"])
+    tested = kernel.wkt_tested(F.col("geometry_raw_wkt"), mean(F.col("g.shape")), (quality.STRIP_W, quality.STRIP_L), quality.JAGGED)
+    r = records.withColumn("g", let(m, whole)).withColumn("_p", tested).withColumn("valid", F.coalesce("_p.valid", F.lit(False)))
     coord = let(F.col("g"), lambda g: crs.assess(F.col("point_raw_lng"), F.col("point_raw_lat"), g["m"]["cx"], g["m"]["cy"], g["w"]["lng"], g["w"]["lat"]))
 
     def judged(g: Column) -> Column:

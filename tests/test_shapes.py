@@ -249,3 +249,17 @@ def test_profiles_of_many_records(spark):
     p = d.select(kernel.wkt_profile("w").alias("p")).agg(F.count_if("p.valid"), F.count_if(F.expr("p.width_m > 0 and p.length_m > p.width_m and p.aspect >= 1"))).first()
     assert p[0] > 50_000 and p[1] == 60_000
     assert time.time() - t < 30  # 60,000 profiles
+
+
+def test_quality_of_records_searches_few_circles(spark, monkeypatch):
+    rng = random.Random(8)
+    rings = [np.round(star(rng, 116, 39, 5, r), 5) for r in (0.0002, 0.002) for _ in range(150)] + [np.array([[116, 39], [116.002, 39], [116.002, 39 + h], [116, 39 + h], [116, 39]]) for h in (1e-5, 4e-4, 6e-4)]
+    searched, search = [], kernel.inscribed_radii
+    monkeypatch.setattr(kernel, "inscribed_radii", lambda q: searched.append(len(q)) or search(q))
+    got = kernel.in_groups(rings, lambda q: kernel._tested(q, np.full(len(q), 12.0), (50.0, 100.0), 0.3), None)
+    assert 0 < sum(searched) < len(rings) / 2
+    narrow = lambda p: (p[0], p[1], p[3], p[2] < 50 and p[1] > 100, p[2] > 1 and 12.0 < 0.3 * p[2])
+    assert [narrow(p) for p in got] == [narrow(p) for p in kernel.in_groups(rings, kernel._profiles, None)]
+    d = spark.createDataFrame([(kernel.to_wkt(q), 12.0) for q in rings] + [("POINT (1 2)", None), (None, None)], "w string, m double")
+    rows = d.select(kernel.wkt_tested(F.col("w"), F.col("m"), (50.0, 100.0), 0.3).alias("p")).collect()
+    assert [r.p["valid"] for r in rows] == [p[0] for p in got] + [None, None]
