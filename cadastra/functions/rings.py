@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import _NUMBER, _plain, is_polygon, let, wkt_mask
+from .columns import _NUMBER, _POLYGON, let
 from .metres import MIDLAT_LAT_M, MIDLAT_LNG_M
 
 
 def ring_of(wkt: Column) -> Column:
     """array<struct<x, y>> of the first (outer) ring of a complete polygon text, else null."""
-    first = F.regexp_extract(_plain(wkt), r"\(([^()]+)\)", 1)
-    point = lambda t: F.struct(F.regexp_extract(t, f"({_NUMBER})\\s+({_NUMBER})", 1).cast("double").alias("x"), F.regexp_extract(t, f"({_NUMBER})\\s+({_NUMBER})", 2).cast("double").alias("y"))
-    return F.when(is_polygon(wkt_mask(wkt)), F.transform(F.split(first, ","), point))
+    numbers = F.regexp_extract_all(F.regexp_extract(wkt, r"\(([^()]+)\)", 1), F.lit(f"(?i)({_NUMBER})"), 1)
+    point = lambda n, i: F.struct(n[2 * i].cast("double").alias("x"), n[2 * i + 1].cast("double").alias("y"))
+    points = let(numbers, lambda n: F.transform(F.sequence(F.lit(0), F.floor(F.size(n) / 2).cast("int") - 1), lambda i: point(n, i)))
+    return F.when(wkt.rlike(_POLYGON), points)
 
 
 def _edges(ring: Column) -> Column:

@@ -67,14 +67,14 @@ def shape_forms(shapes: DataFrame, key: str, group: str, wkt: str) -> DataFrame:
     return Cut(shapes.select(key, group, wkt, *_BOX, F.min(key).over(Window.partitionBy(group, wkt, *_BOX)).alias("form")), "forms").df
 
 
-def form_pairs(forms: DataFrame, key: str, group: str, wkt: str, reach: float, cell: float) -> DataFrame:
+def form_pairs(forms: DataFrame, key: str, group: str, wkt: str, reach: float, cell: float, once: bool = False) -> DataFrame:
     """(form_a, form_b, wkt_a, wkt_b, overlap_m2, gap_m, shared_m) of the `shape_forms` of one group whose boxes come within `reach` degrees;
-    111 000 m a degree. A form meets itself too, and comes first and second, as far as its members do."""
+    111 000 m a degree. A form meets itself too, and comes first and second, as far as its members do; with `once` two forms meet once."""
     c = F.col
     one = forms.groupBy("form").agg(F.max(key).alias("hi")).join(forms.where(c(key) == c("form")).drop(key), "form")
     p = box_pairs(one.select("form", group, (c("x0") - reach / 2).alias("x0"), (c("y0") - reach / 2).alias("y0"), (c("x1") + reach / 2).alias("x1"), (c("y1") + reach / 2).alias("y1")), "form", group, cell)
     itself = one.where("hi > form").where(c(group).isNotNull() & c("x0").isNotNull() & c("y0").isNotNull() & c("x1").isNotNull() & c("y1").isNotNull())
-    p = p.unionByName(p.select(c("form_b").alias("form_a"), c("form_a").alias("form_b"))).unionByName(itself.select(c("form").alias("form_a"), c("form").alias("form_b")))
+    p = (p if once else p.unionByName(p.select(c("form_b").alias("form_a"), c("form_a").alias("form_b")))).select("form_a", "form_b").unionByName(itself.select(c("form").alias("form_a"), c("form").alias("form_b")))
     side = lambda s: one.select(c("form").alias(f"form_{s}"), c(wkt).alias(f"wkt_{s}"), c("hi").alias(f"hi_{s}"))
     p = spread(p.join(side("a"), "form_a").join(side("b"), "form_b").where("form_a < hi_b")).withColumn("p", wkt_pair("wkt_a", "wkt_b")).where("p.inter IS NOT NULL")
     return p.select("form_a", "form_b", "wkt_a", "wkt_b", (c("p.inter") * FLAT * FLAT).alias("overlap_m2"), (c("p.dist") * FLAT).alias("gap_m"), F.when(c("p.inter") * FLAT * FLAT < 1e-6, c("p.shared") * FLAT).otherwise(0.0).alias("shared_m"))
@@ -95,12 +95,25 @@ def topology_pairs(shapes: DataFrame, key: str, group: str, wkt: str, reach: flo
     return of_members(form_pairs(forms, key, group, wkt, reach, cell), forms, key)
 
 
-def topology_report(pairs: DataFrame, least_m2: float = 100.0, most_gap_m: float = 50.0) -> DataFrame:
-    """One row: numbers and sums of overlaps, gaps and shared boundaries of `topology_pairs`."""
-    c = F.col
+def topology_report(pairs: DataFrame, least_m2: float = 100.0, most_gap_m: float = 50.0, times: Column | None = None) -> DataFrame:
+    """One row: numbers and sums of overlaps, gaps and shared boundaries of `topology_pairs`; a row stands for `times` pairs."""
+    c, n = F.col, F.lit(1).cast("bigint") if times is None else times
     over, gap, shared = c("overlap_m2") > least_m2, (c("gap_m") > 0) & (c("gap_m") <= most_gap_m), c("shared_m") > 0
-    s = lambda t, v: F.coalesce(F.sum(F.when(t, c(v))), F.lit(0.0))
-    return pairs.agg(F.count_if(over).alias("n_overlaps"), s(over, "overlap_m2").alias("total_overlap_m2"), F.count_if(gap).alias("n_gaps"), s(gap, "gap_m").alias("total_gap_m"), F.count_if(shared).alias("n_shared"), s(shared, "shared_m").alias("total_shared_m"))
+    k = lambda t: F.coalesce(F.sum(F.when(t, n)), F.lit(0).cast("bigint"))
+    s = lambda t, v: F.coalesce(F.sum(F.when(t, c(v) * n)), F.lit(0.0))
+    return pairs.agg(k(over).alias("n_overlaps"), s(over, "overlap_m2").alias("total_overlap_m2"), k(gap).alias("n_gaps"), s(gap, "gap_m").alias("total_gap_m"), k(shared).alias("n_shared"), s(shared, "shared_m").alias("total_shared_m"))
+
+
+def topology_totals(shapes: DataFrame, key: str, group: str, wkt: str, reach: float, cell: float) -> DataFrame:
+    """`topology_report` of `topology_pairs` without a row for each pair: two equal polygons are one, and the pairs of their members are
+    counted. Keys are unique."""
+    c = F.col
+    forms = shape_forms(shapes, key, group, wkt)
+    n = forms.groupBy("form").agg(F.count(key).alias("n"))
+    side = lambda s: n.select(c("form").alias(f"form_{s}"), c("n").alias(f"n_{s}"))
+    p = Cut(form_pairs(forms, key, group, wkt, reach, cell, once=True).select("form_a", "form_b", "overlap_m2", "gap_m", "shared_m"), "form-pairs").df
+    p = p.join(side("a"), "form_a").join(side("b"), "form_b")
+    return topology_report(p, times=F.when(c("form_a") == c("form_b"), (c("n_a") * (c("n_a") - 1) / 2).cast("bigint")).otherwise(c("n_a") * c("n_b")))
 
 
 def repairs(pairs: DataFrame, separator: Column) -> DataFrame:

@@ -154,7 +154,7 @@ def topology_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_TOPO} SELECT count(*) FILTER (WHERE overlap_m2 > 100) AS n_overlaps, {q('coalesce(sum(overlap_m2) FILTER (WHERE overlap_m2 > 100), 0)', 0, 'total_overlap_m2')}, count(*) FILTER (WHERE gap_m > 0 AND gap_m <= 50) AS n_gaps, {q('coalesce(sum(gap_m) FILTER (WHERE gap_m > 0 AND gap_m <= 50), 0)', 1, 'total_gap_m')} FROM t")
 def topology_summary(spark: SparkSession, d: str) -> DataFrame:
-    s = areas.topology_report(_topo(spark, d))
+    s = areas.topology_totals(_boxes(spark, d), "id", "city", "wkt", 0.0005, 0.005)
     return s.select("n_overlaps", r(C("total_overlap_m2"), 0, "total_overlap_m2"), "n_gaps", r(C("total_gap_m"), 1, "total_gap_m"))
 
 

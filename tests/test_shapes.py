@@ -209,6 +209,24 @@ def test_topology_report_of_many_equal_shapes(spark):
     assert time.time() - t < 60
 
 
+def test_topology_totals_count_members(spark):
+    t, n = time.time(), 20_000
+    s = areas.topology_totals(boxes_of(spark, n), "id", "city", "wkt", 0.0005, 0.005).first()
+    m2 = 0.001 * 111_000**2 * (n * (n - 1) // 2 * 0.003 + n * n * 0.0005)
+    assert s["n_overlaps"] == n * (2 * n - 1) and abs(s["total_overlap_m2"] / m2 - 1) < 1e-9 and s["n_gaps"] == s["n_shared"] == 0
+    assert time.time() - t < 60  # not 800 million pairs
+
+
+def test_totals_are_those_of_the_pairs(spark):
+    rng = random.Random(9)
+    at = [(rng.randrange(6) * 0.001, rng.randrange(6) * 0.001, rng.choice((0.001, 0.0008, 0.002))) for _ in range(60)] * 2
+    rows = [(k, rng.choice("pq"), x, y, x + w, y + 0.001, kernel.to_wkt(np.array([[x, y], [x + w, y], [x + w, y + 0.001], [x, y + 0.001], [x, y]]))) for k, (x, y, w) in enumerate(at)]
+    d = spark.createDataFrame([*rows, (None, *rows[0][1:])], "id int, city string, x0 double, y0 double, x1 double, y1 double, wkt string")
+    args = (d, "id", "city", "wkt", 0.0005, 0.005)
+    a, b = areas.topology_totals(*args).first(), areas.topology_report(areas.topology_pairs(*args)).first()
+    assert all(a[k] > 0 and abs(a[k] - b[k]) <= 1e-9 * b[k] for k in a.asDict())
+
+
 def test_repairs_of_many_equal_shapes(spark):
     t, n = time.time(), 1_500
     forms = areas.shape_forms(boxes_of(spark, n), "id", "city", "wkt")
