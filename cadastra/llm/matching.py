@@ -175,7 +175,8 @@ def match_records(records: DataFrame, entities: DataFrame) -> DataFrame:
     rows = rows.withColumn("place", F.when(F.col("kind") == "", 0).otherwise(F.hash("parts", "bag")))  # the name as one number, 0 for a blank one
     side = lambda s, d: d.select("rid", "n", *cols).select(*[F.col(c).alias(f"{c}{s}") for c in ("rid", "n", *cols)])
     idf = idf_of(rows.where("kind <> ''"))
-    met = candidates(rows).unionByName(name_candidates(rows, idf)).distinct()
+    # pairs of numbers alone, written before the records' columns come to them
+    met = Cut(candidates(rows).unionByName(name_candidates(rows, idf)).distinct(), "met").df
     facing = met.join(side("_a", rows.where("not listed")), "n_a").join(side("_b", rows), "n_b")
     one_district = (F.col("district_a") == "") | (F.col("district_b") == "") | (F.col("district_a") == F.col("district_b"))
     facing = facing.where(one_district & (F.col("city_a") == F.col("city_b")))
@@ -228,8 +229,10 @@ def posteriors(pairs: DataFrame, transitive: bool = True) -> DataFrame:
     held = F.least(F.greatest("p", F.col("chain") / 100), F.col("cap") / 100)
     bound = scored(pairs).where(F.col("p") >= FAR).drop("p").withColumns({"chain": F.lit(0).cast("byte"), "cap": F.lit(100).cast("byte")})
     far = posterior(x, mix) < FAR
+    old: list[Cut] = []
     for _ in range(ROUNDS):
-        now = Cut(scored(bound).withColumn("p", held), "scored").df
+        step = Cut(scored(bound).withColumn("p", held), "scored")
+        now = step.df
         # two strong matches over a third record bound an unsure pair from below
         unsure = now.where(F.col("p").between(1 - STRONG, STRONG)).select("rid_a", "rid_b")
         strong = now.where(F.col("p") >= STRONG).select("rid_a", "rid_b", "p")
@@ -239,7 +242,11 @@ def posteriors(pairs: DataFrame, transitive: bool = True) -> DataFrame:
         chains = two.groupBy("rid_a", "rid_b").agg(F.floor(F.max(F.col("p1") * F.col("p2")) * 100).cast("byte").alias("chain"))
         moves = chains.withColumn("cap", F.lit(None).cast("byte")).unionByName(_caps(now).withColumn("chain", F.lit(None).cast("byte"))).groupBy("rid_a", "rid_b").agg(F.max("chain").alias("c"), F.min("cap").alias("d"))
         bound = now.drop("p").join(moves, ["rid_a", "rid_b"], "left")
-        bound = Cut(bound.withColumns({"chain": F.greatest("chain", F.coalesce("c", "chain")), "cap": F.least("cap", F.coalesce("d", "cap"))}).drop("c", "d"), "bound").df
+        kept = Cut(bound.withColumns({"chain": F.greatest("chain", F.coalesce("c", "chain")), "cap": F.least("cap", F.coalesce("d", "cap"))}).drop("c", "d"), "bound")
+        bound = kept.df
+        for c in (*old, step):
+            c.drop()
+        old = [kept]
         cx, cn, cgot = vectors(bound, ["chain", "cap"])
         floor, cap = np.array([r["chain"] / 100 for r in cgot]), np.array([r["cap"] / 100 for r in cgot])
         cx, cn, floor, cap = np.vstack((cx, x[far])), np.append(cn, n[far]), np.append(floor, np.zeros(far.sum())), np.append(cap, np.ones(far.sum()))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Broadcast a side only when the optimizer's size estimate of a *written* table is below this.
 BROADCAST_BYTES = 32 << 20
+#: Spark's setting to delete the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local_dir: str | None = None
 
 
@@ -59,7 +61,12 @@ class Cut:
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/cadastra/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        was = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")  # the shuffles of this write are read by nothing else
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.set(CLEANUP, was) if was is not None else self.spark.conf.unset(CLEANUP)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def bytes(self) -> int:
