@@ -147,10 +147,26 @@ def _ranked(terms: list[tuple[int, float]], marks: list[str]) -> dict[int, float
     return {t: _RARITY[m] for (t, _), m in zip(terms, marks, strict=True)}
 
 
+#: Parts of 1 in which weights are written, rounded up.
+STEPS = 1000
+
+
 def prefix_terms(form: tuple, table: np.ndarray, beside: float | None, least: float) -> list[int]:
+    """The terms of `prefix_weights` alone."""
+    return [t for t, _, _ in prefix_weights(form, table, beside, least)]
+
+
+def reaches(least: float, a: str = "_a", b: str = "_b") -> Column:
+    """Whether two vectors that share a term (columns w and rest with the suffixes) can have a cosine of `least`, if they share no term before it:
+    the products of the term's weights and of the lengths of what follows it are no less. At the first term that two such vectors share it holds."""
+    return F.col(f"w{a}").cast("int") * F.col(f"w{b}") + F.col(f"rest{a}").cast("int") * F.col(f"rest{b}") >= int(least * STEPS * STEPS)
+
+
+def prefix_weights(form: tuple, table: np.ndarray, beside: float | None, least: float) -> list[tuple[int, int, int]]:
     """The first terms, rare ones first, of the joint vector of a name and (unless `beside` is null) an address, whose share in the squared
     length is `beside` where both are there: so many that what follows is shorter than `least`. Two vectors of length 1 whose cosine
-    is `least` or more share one of these terms: all terms that they share would else lie in the shorter rest of one of them."""
+    is `least` or more share one of these terms: all terms that they share would else lie in the shorter rest of one of them. With each
+    term come its weight and the length of what follows it, in STEPS, rounded up."""
     t, w = unit(name_terms(*form[: len(NAME)]), table)
     order = table[t]
     if beside is not None and len(t):
@@ -166,11 +182,19 @@ def prefix_terms(form: tuple, table: np.ndarray, beside: float | None, least: fl
     o = np.lexsort((t, -order))
     rest = np.concatenate((np.cumsum((w[o] ** 2)[::-1])[::-1][1:], [0.0]))  # what follows each term
     n = int((rest >= least * least - 1e-12).sum()) + 1
-    return t[o][:n].tolist()
+    up = lambda v: np.ceil(v * STEPS).astype(int).tolist()
+    return list(zip(t[o][:n].tolist(), up(w[o][:n]), up(np.sqrt(rest[:n])), strict=True))
+
+
+def _structs(lists: list[list[tuple]], kind: pa.DataType) -> pa.Array:
+    at = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+    flat = np.array([v for x in lists for v in x], np.int64).reshape(-1, 3)
+    fields = list(kind.value_type)
+    return pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(flat[:, i]).cast(f.type) for i, f in enumerate(fields)], fields=fields))
 
 
 def with_prefixes(rows: DataFrame, idf: np.ndarray, keep: Iterable[str], beside: float | None, least: float) -> DataFrame:
-    """The columns `keep` of `rows` with `terms`, their `prefix_terms`."""
+    """The columns `keep` of `rows` with `terms`, their `prefix_weights` as structs of t, w and rest."""
     keep = list(keep)
     forms = [*NAME, *(ADDRESS if beside is not None else ())]
     weights = rows.sparkSession.sparkContext.broadcast(idf)  # BUCKETS numbers
@@ -178,7 +202,8 @@ def with_prefixes(rows: DataFrame, idf: np.ndarray, keep: Iterable[str], beside:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = weights.value
-        known: dict[tuple, list[int]] = {}
+        known: dict[tuple, list[tuple]] = {}
+        kind = pa.list_(pa.struct([("t", pa.int64()), ("w", pa.int16()), ("rest", pa.int16())]))
         for b in batches:
             out = []
             for f in zip(*(b.column(i).to_pylist() for i in range(n, n + len(forms))), strict=True):
@@ -186,9 +211,9 @@ def with_prefixes(rows: DataFrame, idf: np.ndarray, keep: Iterable[str], beside:
                 if got is None:
                     if len(known) >= 50_000:
                         known.clear()
-                    got = known[f] = prefix_terms(f, table, beside, least)
+                    got = known[f] = prefix_weights(f, table, beside, least)
                 out.append(got)
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(out, pa.list_(pa.int64()))], names=[*keep, "terms"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], _structs(out, kind)], names=[*keep, "terms"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return rows.select(*keep, *[F.col(c).alias(f"_{c}") for c in forms]).mapInArrow(run, f"{schema}, terms array<bigint>")
+    return rows.select(*keep, *[F.col(c).alias(f"_{c}") for c in forms]).mapInArrow(run, f"{schema}, terms array<struct<t: bigint, w: smallint, rest: smallint>>")

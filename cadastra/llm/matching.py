@@ -129,7 +129,7 @@ def name_candidates(rows: DataFrame, idf: np.ndarray) -> DataFrame:
     c = F.col
     within = ["city", "district", "parts"]
     d = with_prefixes(_in_districts(rows.where("kind <> ''")).withColumn("sh", F.hash("sys")), idf, ["n", "sh", "listed", *within], None, NAME_ALONE)
-    d = Cut(d.select("n", "sh", "listed", *within, F.explode("terms").alias("t")).select("n", "sh", "listed", F.xxhash64(*within, "t").alias("k")), "beginnings").df
+    d = Cut(d.select("n", "sh", "listed", *within, F.explode("terms.t").alias("t")).select("n", "sh", "listed", F.xxhash64(*within, "t").alias("k")), "beginnings").df
     index, probe = d.select("k", *[c(v).alias(f"{v}_b") for v in ("n", "sh", "listed")]), d.where("not listed").select("k", c("n").alias("n_a"), c("sh").alias("sh_a"))
     once = (c("sh_a") != c("sh_b")) & (c("listed_b") | (c("n_a") < c("n_b")))
     return group_join(index, probe, ["k"], "n_b").where(once).select("n_a", "n_b").distinct()

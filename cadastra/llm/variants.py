@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import norm_id
 from ..runtime import Cut, small
-from .grams import ADDRESS, NAME, cells_around, idf_of, with_cosines, with_prefixes
+from .grams import ADDRESS, NAME, cells_around, idf_of, reaches, with_cosines, with_prefixes
 from .pairs import group_join
 from .places import fill_districts, one_per_record, parsed
 from .survivors import latest_entities
@@ -141,8 +141,8 @@ def candidates(asks: DataFrame, known: DataFrame, key: str, idf: np.ndarray) ->
     within = ["city", "district", "kind", "parts"]
     # endings as bits: those that don't contradict share one, a blank has all
     bits = F.when(F.col("ends") == "", F.lit(-1).cast("bigint")).otherwise(F.aggregate(F.split("ends", r"\|"), F.lit(0).cast("bigint"), lambda m, e: m.bitwiseOR(F.pow(F.lit(2.0), F.crc32(e.cast("binary")) % 62).cast("bigint"))))
-    begin = lambda d, k, s: with_prefixes(d, idf, [k, "ends", *within], BESIDE, THRESHOLD).select(k, bits.alias(f"ends{s}"), F.explode("terms").alias("t"), *within).select(k, f"ends{s}", F.xxhash64(*within, "t").alias("k"))
-    near = group_join(Cut(begin(known, key, "_b"), "index").df, begin(asks, "rid", "_a"), ["k"], key).where(F.col("ends_a").bitwiseAND(F.col("ends_b")) != 0).select("rid", key)
+    begin = lambda d, k, s: with_prefixes(d, idf, [k, "ends", *within], BESIDE, THRESHOLD).select(k, bits.alias(f"ends{s}"), F.inline("terms"), *within).select(k, f"ends{s}", F.col("w").alias(f"w{s}"), F.col("rest").alias(f"rest{s}"), F.xxhash64(*within, "t").alias("k"))
+    near = group_join(Cut(begin(known, key, "_b"), "index").df, begin(asks, "rid", "_a"), ["k"], key).where((F.col("ends_a").bitwiseAND(F.col("ends_b")) != 0) & reaches(THRESHOLD)).select("rid", key)
     return rare.unionByName(near).distinct()
 
 

@@ -1,6 +1,7 @@
 """The operators of training-data preparation against brute force, round trips and held-out accuracy."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -267,6 +268,38 @@ def test_prefixes_lose_no_pair():
     assert hit.sum() > 500 and all(begin[i] & begin[k] for i, k, h in zip(l, r, hit, strict=True) if h)
 
 
+def test_first_shared_terms_reach_the_threshold():
+    """Two names of the least cosine or more reach it by the first term that they share; fewer of the others do."""
+    from cadastra.llm import grams
+
+    rng, table, least = random.Random(3), np.random.default_rng(3).uniform(0.5, 9, grams.BUCKETS), 0.5
+    sounds = "han yi tang wang wu lan mei hua".split()
+    forms = [("".join(chr(0x4E00 + sounds.index(k)) for k in y), " ".join(y), rng.choice(["", "E", "F"])) for y in (rng.sample(sounds, rng.randint(2, 4)) for _ in range(150))]
+    begin = [{t: (w, r) for t, w, r in grams.prefix_weights(f, table, None, least)} for f in forms]
+    l, r = zip(*[(i, k) for i in range(150) for k in range(i)], strict=True)  # noqa: E741
+    cos = grams.cosines([forms[i] for i in l], [forms[i] for i in r], lambda *f: grams.unit(grams.name_terms(*f), table))
+    meets = np.array([any(begin[i][t][0] * begin[k][t][0] + begin[i][t][1] * begin[k][t][1] >= least * grams.STEPS**2 for t in begin[i].keys() & begin[k].keys()) for i, k in zip(l, r, strict=True)])
+    shares = np.array([bool(begin[i].keys() & begin[k].keys()) for i, k in zip(l, r, strict=True)])
+    assert (cos >= least).sum() > 300 and meets[cos >= least].all() and meets.sum() < 0.9 * shares.sum()
+
+
+def test_a_cut_leaves_no_shuffle_behind(spark):
+    from cadastra import runtime
+
+
+    def shuffles() -> list[str]:
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return [f for f in (str(files.apply(i)) for i in range(files.size())) if "shuffle_" in f]
+
+    was, before = spark.conf.get(runtime.CLEANUP, None), set(shuffles())
+    d = runtime.Cut(spark.range(1000).repartition(3, "id"), "t").df
+    for _ in range(50):  # files go in the background
+        if not (left := set(shuffles()) - before):
+            break
+        time.sleep(0.1)
+    assert not left and d.count() == 1000 and spark.conf.get(runtime.CLEANUP, None) == was
+
+
 def test_average_linkage(spark):
     """Fixed groups stay apart, equally near ones are joined by nothing, pairs join each other."""
     edge = lambda a, b, s, m=1: (a, b, s, 1, m)
