@@ -173,7 +173,7 @@ def link_variants(records: DataFrame, entities: DataFrame) -> DataFrame:
         return s.where("ok * 2 > m").select("rid", "eid", F.concat(F.lit("="), "eid").alias("b"), (similarity(F.col("name"), F.col("addr")) * F.col("m")).alias("sum"), F.lit(1).alias("n"), "m")
 
     asks = _asks(free, known)
-    first = Cut(scored(candidates(asks, _asks(known, known), "eid", idf)).where(F.col("sum") >= F.col("m") * THRESHOLD / 2), "scored").df
+    first = Cut(scored(Cut(candidates(asks, _asks(known, known), "eid", idf), "candidates").df).where(F.col("sum") >= F.col("m") * THRESHOLD / 2), "scored").df
     avg = F.col("sum") / F.col("m")
     best = first.groupBy("rid").agg(F.max(F.struct(avg.alias("avg"), "b")).alias("z"), F.sort_array(F.collect_list(avg), False).alias("all"))  # as many as a record has candidates
     sure = best.where((F.col("z.avg") >= SURE) & (F.coalesce(F.get("all", F.lit(1)), F.lit(0.0)) < F.col("z.avg") - TIE)).select("rid", F.col("z.b").alias("root"))
@@ -181,7 +181,7 @@ def link_variants(records: DataFrame, entities: DataFrame) -> DataFrame:
     # the others meet all records; one that has joined an entity counts for it
     rest = asks.join(sure, "rid", "left_anti")
     own = asks.withColumnRenamed("rid", "rid2")
-    each = candidates(rest, own, "rid2", idf).where("rid <> rid2")
+    each = Cut(candidates(rest, own, "rid2", idf).where("rid <> rid2"), "candidates").df
     facing = each.join(side(free, "_a", "rid"), "rid").join(side(free.withColumnRenamed("rid", "rid2"), "_b", "rid2"), "rid2").where(fits())
     between = with_cosines(facing, idf, ["rid", "rid2"]).select("rid", "rid2", similarity(F.col("name_cos"), F.col("addr_cos")).alias("sum")).where(F.col("sum") >= THRESHOLD / 2)
     between = between.join(sure.select(F.col("rid").alias("rid2"), "root"), "rid2", "left").select(F.col("rid").alias("a"), F.coalesce("root", "rid2").alias("b"), "sum", F.lit(0).alias("m"))
