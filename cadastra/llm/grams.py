@@ -162,6 +162,47 @@ def reaches(least: float, a: str = "_a", b: str = "_b") -> Column:
     return F.col(f"w{a}").cast("int") * F.col(f"w{b}") + F.col(f"rest{a}").cast("int") * F.col(f"rest{b}") >= int(least * STEPS * STEPS)
 
 
+#: Terms are numbers below 2 to this power.
+TERM_BITS = 33
+
+
+class Units:
+    """Vectors of length 1 of many forms: vector k has size[k] terms from at[k] on in t (in order), with weights w and orders of rarity."""
+
+    def __init__(self, owner: list[int], t: list[int], w: list[float], n: int, idf: np.ndarray | None, rank: list[float] | None = None):
+        o, t, w = np.array(owner, np.int64), np.array(t, np.int64), np.array(w, float)
+        if idf is not None:
+            w = w * idf[t]
+        key = (o << TERM_BITS) + t
+        by = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]]) if len(by) else np.zeros(0, np.int64)
+        self.owner, self.t = o[by][first], t[by][first]
+        w = np.add.reduceat(w[by], first) if len(first) else w
+        self.order = idf[self.t] if rank is None else np.array(rank, float)[by][first]
+        length = np.sqrt(np.bincount(self.owner, w * w, minlength=n))
+        self.w = w / np.where(length > 0, length, 1.0)[self.owner]
+        self.size = np.bincount(self.owner, minlength=n)
+        self.at = np.cumsum(self.size) - self.size
+
+    def beginnings(self, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(owner, t, w, rest) as `prefix_weights`, by owner."""
+        by = np.lexsort((self.t, -self.order, self.owner))
+        o, w = self.owner[by], self.w[by]
+        col = np.arange(len(o)) - self.at[o]
+        wide = np.zeros((len(self.size), int(self.size.max(initial=0)) + 1))
+        wide[o, col] = w * w
+        rest = np.cumsum(wide[:, ::-1], axis=1)[:, ::-1]  # from each term on
+        keep = (col == 0) | (rest[o, col] >= least * least - 1e-12)
+        up = lambda v: np.ceil(v * STEPS).astype(np.int64)
+        return o[keep], self.t[by][keep], up(w[keep]), up(np.sqrt(rest[o, col + 1][keep]))
+
+
+def name_units(forms: Iterable[tuple], idf: np.ndarray) -> Units:
+    """The vectors of the names (core, sound, ends)."""
+    terms = [name_terms(*f) for f in forms]
+    return Units([i for i, x in enumerate(terms) for _ in x], [t for x in terms for t, _ in x], [w for x in terms for _, w in x], len(terms), idf)
+
+
 def prefix_weights(form: tuple, table: np.ndarray, beside: float | None, least: float) -> list[tuple[int, int, int]]:
     """The first terms, rare ones first, of the joint vector of a name and (unless `beside` is null) an address, whose share in the squared
     length is `beside` where both are there: so many that what follows is shorter than `least`. Two vectors of length 1 whose cosine

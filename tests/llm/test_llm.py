@@ -188,6 +188,28 @@ def test_match_records(spark):
     assert matching.match_records(spark.createDataFrame([], REC), ents).count() == 0
 
 
+def test_pairs_that_cannot_match_are_not_written(spark, monkeypatch):
+    """Pairs are counted by vector and only those that may match are written; which of them are written at once changes no row."""
+    rng = random.Random(4)
+    rows = [record(i, rng.choice("溪湖岚汇曦和") + rng.choice("紫麓榕青秀瑞") + rng.choice(["大厦", "公寓", ""]), rng.choice([None, f"樱荫路{rng.randint(1, 20)}号"]), 116 + rng.random() / 100, 39 + rng.random() / 100, f"s{i % 3}") for i in range(240)]
+    args = spark.createDataFrame(rows, REC), spark.createDataFrame([("COMM_1", "x", None, None, None, None, ["SRC_001", "SRC_002"], None)], ENT)
+    sizes, cut = {}, matching.Cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        sizes.setdefault(name, out.df.where("rid_a is not null").count() if name == "candidates" else 0)
+        return out
+
+    monkeypatch.setattr(matching, "Cut", counted)
+    got = []
+    for least in (0.0, 9.0):
+        sizes.clear()
+        monkeypatch.setattr(matching, "LIKELY", least)
+        got.append(({tuple(r)[:2] for r in matching.match_records(*args).collect()}, sizes["candidates"]))
+    (all_rows, all_pairs), (rows_, pairs_) = got
+    assert all_rows == rows_ and all_rows and all_pairs > 1000 and pairs_ == 0 and "met" not in sizes
+
+
 def test_candidates_by_location_and_city(spark):
     from cadastra.llm.places import syllable_mask
 
