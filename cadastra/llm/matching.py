@@ -293,15 +293,15 @@ def likely(v: np.ndarray) -> np.ndarray:
 def compared(rows: DataFrame, idf: np.ndarray, wanted: np.ndarray | None = None) -> DataFrame:
     """The candidate pairs (rid_a, rid_b: the numbers n, place_a, place_b, steps of the similarities, count 1) that are `likely`, and the other vectors
     with the number of their pairs and no rid; with `wanted` (vectors) the pairs of these alone."""
-    weights = rows.sparkSession.sparkContext.broadcast((idf, None if wanted is None else _code(wanted)))
     dims, codes = list(DIMS), math.prod(m + 2 for m in DIMS.values())
+    every = np.arange(codes)
+    weights = rows.sparkSession.sparkContext.broadcast((idf, likely(_vectors(every)) if wanted is None else np.isin(every, _code(wanted))))
     schema = "rid_a bigint, rid_b bigint, place_a int, place_b int, " + ", ".join(f"{k} byte" for k in dims) + ", count bigint"
     names = [x.split(" ")[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, chosen = weights.value
+        table, one = weights.value
         counted = np.zeros(codes, np.int64)
-        one = likely(_vectors(np.arange(codes))) if chosen is None else np.isin(np.arange(codes), chosen)
         for t in tables(batches):
             n, place = t["n"].to_numpy(), t["place"].to_numpy()
             sims = Similarities(t)
@@ -310,7 +310,7 @@ def compared(rows: DataFrame, idf: np.ndarray, wanted: np.ndarray | None = None)
                 v = np.stack([s[k] for k in dims], axis=1)
                 code = _code(v)
                 take = np.flatnonzero(one[code])
-                if chosen is None:
+                if wanted is None:
                     counted += np.bincount(code, minlength=codes)
                 a, b = i[take], j[take]
                 a, b = np.where(n[a] < n[b], a, b), np.where(n[a] < n[b], b, a)
